@@ -66,6 +66,8 @@ def _search(phrases: Phrases, docs: list[np.ndarray], sample: int) -> tuple[list
     index = FMIndex(flat[origin], sample)
     lo, hi = index.ranges(phrases.rows, phrases.lengths)
     hit = np.flatnonzero(hi > lo)
+    if not len(hit):
+        return spans, found
     many = (hi - lo)[hit]
     window = np.repeat(hit, many)
     places = np.repeat(lo[hit] - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -74,7 +76,7 @@ def _search(phrases: Phrases, docs: list[np.ndarray], sample: int) -> tuple[list
     doc = np.searchsorted(begins, at, side="right") - 1
     by = np.lexsort((at, doc))
     at, doc, window = at[by], doc[by], window[by]
-    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     for a, b in zip(cut, [*cut[1:], len(doc)], strict=True):
         d, merged = int(doc[a]), []
         for x, w in zip((at[a:b] - begins[doc[a]]).tolist(), window[a:b].tolist(), strict=True):
