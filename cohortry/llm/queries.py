@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from cohortry.llm import decontaminate, exact_dedup, simhash
+from cohortry.llm import bpe_count, decontaminate, exact_dedup, packing, simhash, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_token_counts": bpe_count.op4_token_counts,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
-ORACLES = {**exact_dedup.ORACLE}
+ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE}
