@@ -90,6 +90,20 @@ def first_fit_basis(weights: np.ndarray, demand: np.ndarray, capacity: int) -> t
     return columns, x
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots. Plain array operations: the driver starts no linear-algebra threads."""
+    n = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        others = np.flatnonzero(work[:, k])
+        others = others[others != k]
+        work[others] -= work[others, k, None] * work[k]
+    return work[:, n:]
+
+
 def cutting_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> list[tuple[int, np.ndarray]]:
     """(times, pattern) that together hold exactly demand[k] pieces of weights[k], with few patterns' worth of waste.
 
@@ -101,21 +115,21 @@ def cutting_patterns(weights: np.ndarray, demand: np.ndarray, capacity: int, gap
     if not m:
         return []
     columns, x = first_fit_basis(weights, demand, capacity)
-    inverse = np.linalg.inv(np.array(columns, float).T)
+    inverse = inverted(np.array(columns, float).T)
     for turn in range(1, 8 * m + 200):
         value, pattern = knapsack(weights, inverse.sum(axis=0), capacity)
         if value <= 1 + gap:
             break
-        step = inverse @ pattern
+        step = (inverse * pattern).sum(axis=1)
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
         columns[out] = pattern
         if turn % 64:
             row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
+            inverse -= step[:, None] * row
             inverse[out] = row
         else:  # anew, against drift
-            inverse = np.linalg.inv(np.array(columns, float).T)
+            inverse = inverted(np.array(columns, float).T)
         x = np.maximum(x - ratio[out] * step, 0)
         x[out] = ratio[out]
     left, found = demand.astype(np.int64).copy(), []
