@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import bpe_count, decontaminate, exact_dedup, packing, simhash, warc
+from cohortry.llm import bpe_count, decontaminate, exact_dedup, packing, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_token_counts": bpe_count.op4_token_counts,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_packing": packing.op10_packing,
 }
 
