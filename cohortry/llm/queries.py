@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import bpe_count, decontaminate, exact_dedup, lm_score, packing, simhash, toxicity, url_filter, warc
+from cohortry.llm import bpe_count, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_counts": bpe_count.op4_token_counts,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_lm_scoring": lm_score.op6_lm_scoring,
+    "op7_license_scan": license_scan.op7_license_scan,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_packing": packing.op10_packing,
