@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import table, written
 from cohortry.llm.decontaminate import contamination
 from cohortry.llm.exact_dedup import exact_duplicates
+from cohortry.llm.packing import packed
 from cohortry.llm.simhash import simhash_components
+from cohortry.llm.toxicity import toxicity
 
 
-def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among keys (one column, named key)."""
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
+def _without(docs: DataFrame, judged: DataFrame, rejected) -> DataFrame:
+    """docs without the documents that judged rejects. Where an identifier repeats, it goes if all its rows are rejected.
+
+    Only identifiers travel: Spark broadcasts those rejected while they are few, by its size threshold.
+    """
+    gone = judged.groupBy(F.col("doc_id").alias("gone")).agg(F.min(rejected.cast("int")).alias("all")).filter(F.col("all") == 1).select("gone")
+    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the lexicon is learned from labels."""
+    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 1)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document of the smallest identifier stays."""
-    judged = exact_duplicates(docs)
-    return _only(docs, written(judged.filter("kept").select(F.col("doc_id").alias("key"))))
+    return _without(docs, exact_duplicates(docs), ~F.col("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every near-duplicate group, the document of the smallest identifier stays."""
-    judged = simhash_components(docs)
-    return _only(docs, written(judged.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key"))))
+    return _without(docs, simhash_components(docs), ~F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by the benchmark go."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, written(judged.filter("NOT contaminated").select(F.col("doc_id").alias("key"))))
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")), F.col("contaminated"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
     ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 #: SQL can express neither the learned toxicity scores nor the packing.
