@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cohortry.plans import images, inference, verbs
+
+_REGISTERS = [verbs.register, images.register, inference.register]
+
+QUERIES = {name: f for r in _REGISTERS for name, f in r.queries.items()}
+ORACLES = {name: sql for r in _REGISTERS for name, sql in r.oracles.items()}
