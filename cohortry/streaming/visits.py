@@ -12,6 +12,6 @@ def event_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
 
 def windowed_visits(events: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
     """Events and their summed value per window and type. On a stream, windows close when the watermark passes them."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     out = timed.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
