@@ -141,7 +141,7 @@ def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 3, le
 
     Fits on about most_rows rows (documented bound): those whose identifier hash falls below most_rows / rows. An
     entry needs `least` toxic rows (two, below a hundred toxic rows) and smoothed log odds of which least_odds are left
-    at 1.64 standard errors below the estimate (2.0, below a hundred toxic rows). Without toxic or without clean rows, the lexicon is empty and scores are the
+    at 1.64 standard errors below the estimate (1.5, below a hundred toxic rows). Without toxic or without clean rows, the lexicon is empty and scores are the
     share of toxic rows, smoothed.
     """
     spark = rows.sparkSession
@@ -153,7 +153,7 @@ def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 3, le
     if not n_toxic or not n_clean:
         return Lexicon(bias=float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
     if n_toxic < 100:
-        least, least_odds = min(least, 2), min(least_odds, 2.0)
+        least, least_odds = min(least, 2), min(least_odds, 1.5)
 
     def count():
         def run(batches):
