@@ -79,8 +79,8 @@ def flush_runs(digests: DataFrame, ranges: int, memtable_rows: int = 200_000) ->
 NO_ID = np.iinfo(np.int64).max
 
 
-def compact(runs: DataFrame, slice_bits: int) -> DataFrame:
-    """Level 1: one row per range with the repeated digests, their smallest identifiers, counts and filter slice."""
+def compact(runs: DataFrame, slices: int, ranges: int, slice_bits: int) -> DataFrame:
+    """Level 1: one row per range with the repeated digests, their smallest identifiers, counts, and their bits in the slice of the filter that the range belongs to."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(pdf.digests), np.uint8).reshape(-1, DIGEST)
@@ -92,9 +92,19 @@ def compact(runs: DataFrame, slice_bits: int) -> DataFrame:
         again = counts > 1
         bits = np.zeros(slice_bits, np.uint8)
         bits[_bits_of(raw[again], slice_bits).ravel()] = 1
-        return pd.DataFrame({"bucket": [pdf.bucket.iloc[0]], "digests": [raw[again].tobytes()], "ids": [ids[again].tobytes()], "counts": [counts[again].tobytes()], "filter": [np.packbits(bits).tobytes()]})
+        return pd.DataFrame({"slice": [int(pdf.bucket.iloc[0]) * slices // ranges], "digests": [raw[again].tobytes()], "ids": [ids[again].tobytes()], "counts": [counts[again].tobytes()], "filter": [np.packbits(bits).tobytes()]})
 
-    return runs.groupBy("bucket").applyInPandas(merge, "bucket int, digests binary, ids binary, counts binary, filter binary")
+    return runs.groupBy("bucket").applyInPandas(merge, "slice int, digests binary, ids binary, counts binary, filter binary")
+
+
+def united(level: DataFrame) -> DataFrame:
+    """The filter's slices (slice, filter): those of all ranges of a slice, joined bit by bit."""
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in pdf["filter"]])
+        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "filter": [bits.tobytes()]})
+
+    return level.select("slice", "filter").groupBy("slice").applyInPandas(unite, "slice int, filter binary")
 
 
 def _entries(level: DataFrame) -> DataFrame:
@@ -110,23 +120,24 @@ def _entries(level: DataFrame) -> DataFrame:
     return arrow_map(level.select("digests", "ids", "counts"), make, "digest binary, keep long, n long")
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 26) -> DataFrame:
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 26, most_slices: int = 4096) -> DataFrame:
     """One row per row of docs: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each white-space run becomes one space; null counts as empty. The smallest
     key of equal texts stays. A null key is above all others. Rows that repeat the smallest key are all kept.
-    The Bloom filter has at most filter_bits bits (8 MB), whatever the size of docs; when it fills up, more rows are
-    joined and none is lost. No rows in, no rows out; other columns of docs are left out.
+    The Bloom filter has at most filter_bits bits (8 MB) in most_slices slices, whatever the size of docs and however
+    many ranges the index has; when it fills up, more rows are joined and none is lost. No rows in, no rows out; other columns of docs are left out.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("ident"), normalised(text).alias("body")).withColumn("digest", F.unhex(F.sha2(F.encode("body", "utf-8"), 256)))
     digests = written(rows.select("digest", "ident"))
     total = digests.count()
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, total / range_rows)))))
-    slice_bits = max(64, min(filter_bits, 1 << int(np.ceil(np.log2(16 * max(1, total))))) // ranges)
-    level = written(compact(flush_runs(digests, ranges, memtable_rows), slice_bits))
-    bits = bytearray(-(-slice_bits // 8) * ranges)
-    for bucket, part in ((r.bucket, r["filter"]) for r in level.select("bucket", "filter").collect()):
+    slices = min(ranges, most_slices)
+    slice_bits = max(64, min(filter_bits, 1 << int(np.ceil(np.log2(16 * max(1, total))))) // slices)
+    level = written(compact(flush_runs(digests, ranges, memtable_rows), slices, ranges, slice_bits))
+    bits = bytearray(-(-slice_bits // 8) * slices)
+    for bucket, part in ((r["slice"], r["filter"]) for r in united(level).collect()):
         bits[bucket * len(part) : (bucket + 1) * len(part)] = part
     shared = spark.sparkContext.broadcast(bytes(bits))
     stride = -(-slice_bits // 8) * 8
@@ -139,7 +150,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
                 flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DIGEST)
                 if not len(flat):
                     continue
-                at = (_ranges_of(flat, ranges) * stride)[:, None] + _bits_of(flat, slice_bits)
+                at = (_ranges_of(flat, slices) * stride)[:, None] + _bits_of(flat, slice_bits)
                 maybe = ((filled[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
                 body = pa.compute.if_else(pa.array(maybe), batch.column(2), pa.scalar(None, batch.column(2).type))
                 yield batch.column(0), batch.column(1), pa.array(maybe), body

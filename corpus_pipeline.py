@@ -19,8 +19,8 @@ def _without(docs: DataFrame, judged: DataFrame, rejected) -> DataFrame:
 
     Only identifiers travel: Spark broadcasts those rejected while they are few, by its size threshold.
     """
-    gone = judged.groupBy(F.col("doc_id").alias("gone")).agg(F.min(rejected.cast("int")).alias("all")).filter(F.col("all") == 1).select("gone")
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    gone = judged.groupBy(F.col("doc_id").alias("__gone")).agg(F.min(rejected.cast("int")).alias("all")).filter(F.col("all") == 1).select("__gone")
+    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def test_zip64_directory(tmp_path):
 def test_exact_dedup(spark):
     texts = ["a b", "a  b", "a\tb", None, "", "A b", "a b ", " a b", "x"] + ODD
     ids = [5, 3, 9, 2, 1, 4, 6, 7, 3] + list(range(20, 20 + len(ODD)))
-    got = [tuple(r)[:5] for r in exact_dedup.exact_duplicates(documents(spark, texts, ids), range_rows=4, memtable_rows=3, filter_bits=256).collect()]
+    got = [tuple(r)[:5] for r in exact_dedup.exact_duplicates(documents(spark, texts, ids), range_rows=1, memtable_rows=3, filter_bits=256, most_slices=4).collect()]
     groups = {}
     for i, t in zip(ids, texts):
         groups.setdefault(norm(t), []).append(i)
