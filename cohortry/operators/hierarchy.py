@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def closure(tree: DataFrame, deepest: int = 64) -> DataFrame:
     """(node, ancestor, distance): every node with itself and all of its ancestors. A node may have several parents.
 
-    One join per level of the tree; the loop ends with the deepest level that exists.
+    One join per level of the tree, each level kept while the next is made; the loop ends with the deepest level there is.
     """
     edges = tree.filter("parent IS NOT NULL").select(F.col("node").alias("child"), F.col("parent").alias("up")).distinct()
     frontier = tree.select("node", F.col("node").alias("ancestor")).distinct().withColumn("distance", F.lit(0))
     out = frontier
     for distance in range(1, deepest + 1):
-        frontier = frontier.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("up").alias("ancestor")).distinct().withColumn("distance", F.lit(distance))
+        frontier = frontier.join(edges, F.col("ancestor") == F.col("child")).select("node", F.col("up").alias("ancestor")).distinct().withColumn("distance", F.lit(distance)).persist()
         if frontier.isEmpty():
             return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
         out = out.unionByName(frontier)
