@@ -17,4 +17,4 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE}
+ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE, **decontaminate.ORACLE}
