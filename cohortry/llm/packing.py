@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -14,34 +15,64 @@ from pyspark.sql import functions as F
 
 from cohortry.llm.common import arrow_map, table, written
 
-WORDS = re.compile(r"[^ \t\n\r]+")
+CHUNKS = re.compile(r"[^ \t\n\r]+")
 
 
 class IdBytes(dict):
     """Token ids of white-space separated chunks, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its chunks, joined.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its chunks, joined. Of the
+    chunks, at most `most` are remembered.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: Whether an id ends a word, by id.
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[k for name, k in names.items() if name.endswith("</w>")]] = True
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > 2 and chunk[-1] in ".," and chunk[-2].isascii() and chunk[-2].isalpha():
-            ids = self[chunk[:-1]] + self[chunk[-1]]  # a letter and a stop are always apart
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def of(self, text: str, end_id: int) -> bytes:
-        return b"".join(map(self.__getitem__, WORDS.findall(text))) + end_id.to_bytes(4, "little")
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remembers chunks. Words of letters alone are encoded together; each has one id that ends a word, its last.
+
+        A letter and the stop behind it are always apart, so a word with a stop is the word's ids and the stop's.
+        """
+        if len(self) + len(chunks) > self.most:
+            self.clear()
+        chunks = {c for c in chunks if len(c) <= 64}
+        stopped = {c for c in chunks if c[-1] in ".," and c[:-1].isalpha()}
+        words = [c for c in (chunks - stopped).union(c[:-1] for c in stopped).difference(self) if c.isalpha()]
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
+            if len(cut) == len(words):
+                data, start = ids.tobytes(), 0
+                for word, stop in zip(words, cut.tolist(), strict=True):
+                    self[word] = data[start:stop]
+                    start = stop
+        for chunk in chunks - stopped:
+            if chunk not in self:
+                self[chunk] = self[chunk]
+        stops = {x: self[x] for x in ".,"}
+        for chunk in stopped:
+            self[chunk] = self[chunk[:-1]] + stops[chunk[-1]]
+
+    def of(self, texts: list[str], end_id: int) -> Iterator[bytes]:
+        """The ids of each text and end_id."""
+        end = end_id.to_bytes(4, "little")
+        for at in range(0, len(texts), 64):
+            block = [CHUNKS.findall(text) for text in texts[at : at + 64]]
+            found = [list(map(self.get, chunks)) for chunks in block]
+            if fresh := {c for chunks, ids in zip(block, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}:
+                self.learn(fresh)
+            for chunks, ids in zip(block, found, strict=True):
+                yield b"".join(map(self.__getitem__, chunks) if None in ids else ids) + end
 
 
 @functools.lru_cache(maxsize=2)
@@ -160,8 +191,7 @@ def token_pieces(docs: DataFrame, path: str, length: int, end_id: int, key: str,
         def run(batches):
             for batch in batches:
                 n, crcs = [], []
-                for body in batch.column(1):
-                    data = ids.of(body.as_py() or "", end_id)
+                for data in ids.of([body or "" for body in batch.column(1).to_pylist()], end_id):
                     n.append(len(data) // 4)
                     crcs.append([zlib.crc32(data[at : at + 4 * length]) for at in range(0, len(data), 4 * length)])
                 yield batch.column(0), n, crcs
