@@ -111,7 +111,7 @@ def precision_recall(spark, sf):
     return rounded(N.precision_recall(_judged(spark, sf), "n_chars", F.col("quality") == 1), "precision", "recall")
 
 
-@register("WITH n AS (SELECT lang, count(*) AS n, count_if(quality = 1 AND toxic = 1) AS a, count_if(quality = 1 AND toxic = 0) AS b, count_if(quality = 0 AND toxic = 1) AS c, count_if(quality = 0 AND toxic = 0) AS d FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT lang, round(coalesce(a / n * log2(nullif(a * n / ((a + b) * (a + c)), 0)), 0) + coalesce(b / n * log2(nullif(b * n / ((a + b) * (b + d)), 0)), 0) + coalesce(c / n * log2(nullif(c * n / ((c + d) * (a + c)), 0)), 0) + coalesce(d / n * log2(nullif(d * n / ((c + d) * (b + d)), 0)), 0), 6) AS bits FROM n")
+@register("WITH n AS (SELECT lang, count(*) AS n, count_if(quality = 1 AND toxic = 1) AS a, count_if(quality = 1 AND toxic = 0) AS b, count_if(quality = 0 AND toxic = 1) AS c, count_if(quality = 0 AND toxic = 0) AS d FROM documents JOIN labels USING (doc_id) GROUP BY 1) SELECT lang, round(coalesce(a / n * log2(nullif(a * n / nullif((a + b) * (a + c), 0), 0)), 0) + coalesce(b / n * log2(nullif(b * n / nullif((a + b) * (b + d), 0), 0)), 0) + coalesce(c / n * log2(nullif(c * n / nullif((c + d) * (a + c), 0), 0)), 0) + coalesce(d / n * log2(nullif(d * n / nullif((c + d) * (b + d), 0), 0)), 0), 6) AS bits FROM n")
 def mutual_information(spark, sf):
     return rounded(N.mutual_information(_judged(spark, sf), F.col("quality") == 1, F.col("toxic") == 1, ["lang"]), "bits")
 
