@@ -74,8 +74,10 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in counts.filter(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.ndarray, train_share: float, rounds: int, trainers: int, block_words: int, width: int, hidden: int, rate: float) -> bytes:
-    """Weights after `rounds` of training, each over its own part of the train_share of rows, averaged over tasks by words seen.
+def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.ndarray, rounds: int, trainers: int, block_words: int, width: int, hidden: int, rate: float) -> bytes:
+    """Weights after `rounds` of training, each over its own part of the rows, averaged over tasks by words seen.
+
+    The parts are made by key hash and hold every row of train once.
 
     A task trains a copy of the weights on its rows, block by block, with truncated backpropagation. Averages are
     summed in 16 groups first and those then, so the driver gets one row, whatever the number of tasks.
@@ -83,7 +85,7 @@ def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.nda
     spark = train.sparkSession
     weights = GatedLM(counts, width, hidden).packed()
     number = spark.sparkContext.broadcast({w: k + 2 for k, (w, _) in enumerate(top)})
-    place = F.abs(F.xxhash64(F.lit("train"), "ident") % 1_000_003) / 1_000_003.0
+    nth = F.pmod(F.xxhash64(F.lit("train"), "ident"), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -118,7 +120,7 @@ def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.nda
         def whole_sum(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"weights": [sum(np.frombuffer(w, "<f8") for w in pdf.weights).tobytes()], "seen": [int(pdf.seen.sum())]})
 
-        part = train.filter((place >= train_share * k / rounds) & (place < train_share * (k + 1) / rounds)).select("text").coalesce(trainers)
+        part = train.filter(nth == k).select("text").coalesce(trainers)
         sums = arrow_map(part, make, "slot int, weights binary, seen long").groupBy("slot").applyInPandas(group_sum, "weights binary, seen long")
         sums = sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(whole_sum, "weights binary, seen long").collect()
         if sums:
@@ -126,12 +128,11 @@ def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.nda
     return weights
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = 2048, width: int = 64, hidden: int = 16, head_words: int = 100_000, train_share: float = 0.125, rounds: int = 2, trainers: int = 4096, block_words: int = 1 << 18, rate: float = 0.1) -> DataFrame:
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = 2048, width: int = 64, hidden: int = 16, head_words: int = 100_000, rounds: int = 2, trainers: int = 4096, block_words: int = 1 << 18, rate: float = 0.1) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Tokens are words and one end. Training rows are those whose crc32 of the key, as text, modulo folds is not
-    held_fold; word counts cover all of them, and the recurrent weights are trained on the train_share of them, by key
-    hash (documented parameters, the same at every size). The model's vocabulary is the end, the vocabulary - 2 most
+    held_fold; word counts and the training of the recurrent weights cover all of them. The model's vocabulary is the end, the vocabulary - 2 most
     frequent words and one number for all other words, whose probability is shared out by smoothed counts:
     (c + 1) / (N_other + V_other + 1). Counts of the most frequent words, at most head_words, are broadcast; other words meet
     their counts in a join, summed per row beforehand. Whole texts are scored, state carried on to their end.
@@ -150,7 +151,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     top = ranked[: vocabulary - 2]
     other_n, other_v = whole.n - sum(n for _, n in top), whole.v - len(top)
     numbers = np.array([ends, other_n, *(n for _, n in top)], np.float64)
-    weights = trained_model(train, top, numbers, train_share, rounds, trainers, block_words, width, hidden, rate)
+    weights = trained_model(train, top, numbers, rounds, trainers, block_words, width, hidden, rate)
     shared = spark.sparkContext.broadcast((head, weights))
     end_log, known_words = math.log10(ends + 1), len(top)
 

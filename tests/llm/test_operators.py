@@ -221,6 +221,22 @@ def test_lm_scores(spark):
     assert lm_score.lm_scores(empty(spark)).count() == 0
 
 
+def test_every_training_row_reaches_the_recurrent_weights(spark, monkeypatch):
+    texts = [f"own{k} " * 100 for k in range(40)]  # the input weights of a word move only where its row is learned from
+    seen, trained = [], lm_score.trained_model
+
+    def kept(train, top, counts, *more):
+        seen.append((top, counts, trained(train, top, counts, *more)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(lm_score, "trained_model", kept)
+    lm_score.lm_scores(documents(spark, texts).coalesce(1))
+    (top, counts, packed), = seen
+    before, after = (m.weights["input"] for m in (gated_lm.GatedLM(counts), gated_lm.GatedLM(counts).load(packed)))
+    moved = {w.decode() for k, (w, _) in enumerate(top) if (before[k + 2] != after[k + 2]).any()}
+    assert moved == {f"own{k}" for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2}
+
+
 def test_license_matches_equal_every_window(spark):
     rng = random.Random(2)
     texts = sentences(25, 11, 120) + ODD
