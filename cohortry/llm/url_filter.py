@@ -80,20 +80,34 @@ def lexical(urls: DataFrame, url: str, host: str, path: str) -> DataFrame:
     return urls.withColumns({k: v.cast("string") if k in ("suffix", "folder") else v.cast("double") for k, v in out.items()})
 
 
-def statistics(labelled: DataFrame, column: str, least: int, most: int) -> DataFrame:
+def statistics(labelled: DataFrame, column: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
     """Of each value of column that `least` labelled rows have, the log of its rows and its smoothed share of blocked ones.
 
-    At most `most` values, the most frequent ones (documented bound of what is broadcast); other values count as unseen.
+    Two tables, both written: the `most` most frequent values (documented bound of what is broadcast), and all others.
     """
-    counted = labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).filter(F.col("n") >= least)
-    counted = counted.orderBy(F.desc("n"), column).limit(most)
-    return counted.select(F.col(column).alias(f"{column}_key"), F.log1p("n").alias(f"{column}_rows"), ((F.col("blocked") + 1.0) / (F.col("n") + 2.0)).alias(f"{column}_block"))
+    counted = written(labelled.groupBy(column).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).filter(F.col("n") >= least))
+    common = written(counted.orderBy(F.desc("n"), column).limit(most).select(column))
+    rest = counted.join(F.broadcast(common), column, "left_anti")
 
+    def shares(df: DataFrame) -> DataFrame:
+        return written(df.select(F.col(column).alias(f"{column}_key"), F.log1p("n").alias(f"{column}_rows"), ((F.col("blocked") + 1.0) / (F.col("n") + 2.0)).alias(f"{column}_block")))
 
-def with_statistics(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    for column, stats in tables.items():
-        rows = rows.join(F.broadcast(stats), F.col(column) == F.col(f"{column}_key"), "left").drop(f"{column}_key")
-        rows = rows.withColumns({f"{column}_rows": F.coalesce(f"{column}_rows", F.lit(0.0)), f"{column}_block": F.coalesce(f"{column}_block", F.lit(0.5))})
+    return shares(counted.join(F.broadcast(common), column, "left_semi")), shares(rest)
+
+
+def with_statistics(rows: DataFrame, tables: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """rows with the statistics of their values; a value without any has none of its rows and a share of one half.
+
+    Frequent values are broadcast. The rest is joined by key, where rows of frequent values, which meet nothing there,
+    are dealt over salts so that they don't gather in one task.
+    """
+    for column, (common, rest) in tables.items():
+        names = [f"{column}_rows", f"{column}_block"]
+        rows = rows.join(F.broadcast(common), F.col(column) == F.col(f"{column}_key"), "left")
+        rows = rows.withColumn("salt", F.when(F.col(f"{column}_key").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("url"), F.lit(1024)))).drop(f"{column}_key")
+        rare = rest.select(F.col(f"{column}_key"), F.lit(0).cast("long").alias("rare_salt"), *[F.col(n).alias(f"rare_{n}") for n in names])
+        rows = rows.join(rare, (F.col(column) == F.col(f"{column}_key")) & (F.col("salt") == F.col("rare_salt")), "left")
+        rows = rows.withColumns({n: F.coalesce(n, f"rare_{n}", F.lit(0.0 if n.endswith("_rows") else 0.5)) for n in names}).drop("salt", "rare_salt", f"{column}_key", *[f"rare_{n}" for n in names])
     return rows
 
 
@@ -102,7 +116,7 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, key: str =
 
     Trees learn from labelled (url, label 0 or 1, 1 is block) or, without it, from those urls of pages that a rule
     judges: about most_rows of them, chosen by url hash (documented bound). Suffix statistics are counted over all
-    labelled rows. The last domain label is the suffix; the label before it with the first folder is another one.
+    labelled rows and kept for all values; those of the `suffixes` most frequent ones are broadcast. The last domain label is the suffix; the label before it with the first folder is another one.
     If labels are all alike, or there are none, the trees have nothing to learn: urls get that label, else allow.
     Null urls and such without '://' have empty host and path and no rule, and are judged by their features. Repeated
     rows are judged alike; no rows in, no rows out; other columns are left out.
@@ -125,7 +139,7 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, key: str =
         blocked = F.lit(kinds[0] if kinds else 0.0)
         scored = judged.withColumn("blocked", blocked)
     else:
-        tables = {c: written(statistics(train, c, 2, suffixes)) for c in ("suffix", "folder")}
+        tables = {c: statistics(train, c, 2, suffixes) for c in ("suffix", "folder")}
         share = min(1.0, most_rows / n)
         picked = train.filter(F.abs(F.xxhash64(F.coalesce("url", F.lit(""))) % 1_000_003) / 1_000_003.0 < share)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")

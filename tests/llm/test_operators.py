@@ -309,6 +309,19 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.url_verdicts(pages.filter("page_id < 4")).collect()} == {"allow"}
 
 
+def test_url_statistics_hold_every_value(spark):
+    hosts = [f"h{k % 30}.{'com' if k % 7 else 'net'}" for k in range(400)]
+    urls = [f"http://{h}/f{k % 3}/{k}" for k, h in enumerate(hosts)]
+    labelled = spark.createDataFrame([(u, int(h[:-4] in ("h3", "h8", "h17"))) for u, h in zip(urls, hosts)], "url string, label int")
+    pages = spark.createDataFrame([(k, u + "x") for k, u in enumerate(urls)] + [(400, None)], "page_id long, url string")
+
+    def blocked(most):
+        return {r.page_id: r.blocked for r in url_filter.url_verdicts(pages.coalesce(1), labelled.coalesce(1), trees=3, suffixes=most).collect()}
+
+    few, many = blocked(1), blocked(10_000)
+    assert len(few) == 401 and few == pytest.approx(many)
+
+
 def test_packing_places_every_token_once(spark):
     from tokenizers import Tokenizer
 
