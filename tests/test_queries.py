@@ -44,3 +44,9 @@ def test_query(spark, duck, name):
     expected = rows(columns, want.fetchall())
     assert len(found) == len(expected)
     assert all(same(x, y) for r, q in zip(found, expected) for x, y in zip(r, q))
+
+
+@pytest.mark.parametrize("name", ["network_clusters", "linkage_clusters"])
+def test_clusterings_hold_every_image(spark, name):
+    images = spark.read.parquet(f"{FOLDER}/embeddings.parquet").count()
+    assert QUERIES[name](spark, FOLDER).select("image").distinct().count() == images
