@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from importlib.resources import files
 
 import numpy as np
 import xxhash
@@ -25,6 +26,34 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
 )
 
+#: Short wordings of notices. At most eight words each, so that all their shingles, and with them the version, must be there.
+WORDINGS = (
+    ("MIT", "under the MIT License", "terms of the MIT License"),
+    ("ISC", "under the ISC License", "terms of the ISC License"),
+    ("BSD-2-Clause", "under the BSD 2-Clause License", "under the 2-Clause BSD License"),
+    ("BSD-3-Clause", "under the BSD 3-Clause License", "under the 3-Clause BSD License"),
+    ("Apache-2.0", "Apache License, Version 2.0", "under the Apache License 2.0", "terms of the Apache License 2.0"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v 2.0"),
+    ("LGPL-2.1", "Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "Lesser General Public License, version 3"),
+    ("AGPL-3.0", "Affero General Public License, version 3"),
+    ("GPL-2.0", "the GNU General Public License, version 2"),
+    ("GPL-3.0", "the GNU General Public License, version 3"),
+    ("CC0-1.0", "under CC0 1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "under CC BY-NC 4.0"),
+    ("Unlicense", "released into the public domain under the Unlicense", "under the Unlicense license"),
+    ("Unlicense", "This is free and unencumbered software released"),
+)
+
+#: Whole texts, in the folder licenses.
+WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0")
+
+TEMPLATES += tuple((name, wording) for name, *wordings in WORDINGS for wording in wordings)
+TEMPLATES += tuple((name, files("cohortry.llm").joinpath("licenses", f"{name}.txt").read_text("utf-8")) for name in WHOLE)
+
 WORD = re.compile(r"[^\W_]+")
 
 

@@ -252,6 +252,16 @@ def test_license_matches_equal_every_window(spark):
     assert license_scan.license_matches(empty(spark)).count() == 0
 
 
+def test_license_wordings_and_whole_texts():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    cases = {"Licensed under the MIT License": "MIT", "Released under the terms of the MIT License": "MIT", "Licensed under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "under the BSD 3-Clause License": "BSD-3-Clause", "see the Mozilla Public License, v. 2.0": "MPL-2.0", "GNU Lesser General Public License, version 2.1": "LGPL-2.1", "GNU Affero General Public License, version 3": "AGPL-3.0", "": None, "the license of a driver": None}
+    for text, name in cases.items():
+        assert [m[0] for m in scanner.scan([license_scan.words_of(text)])[0]] == ([name] if name else []), text
+    for name, text in license_scan.TEMPLATES[-len(license_scan.WHOLE) :]:
+        words = license_scan.words_of(text)
+        assert (name, 0, len(words), 1.0) in scanner.scan([words])[0]
+
+
 def test_band_setting_keeps_its_promise():
     for similarity in (0.1, 0.33, 0.8):
         assert (1 - similarity) ** license_scan.bands_for(similarity, 1e-6) <= 1e-6
