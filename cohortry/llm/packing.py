@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import arrow_map, table, written
 
 CHUNKS = re.compile(r"[^ \t\n\r]+")
+#: Letters below U+0250 but for U+0130, which lower-cases to a letter and a combining mark: composing and lower-casing leave them letters.
+PLAIN = re.compile(r"(?:(?!\u0130)[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])+")
 
 
 class IdBytes(dict):
@@ -39,14 +41,16 @@ class IdBytes(dict):
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        """Remembers chunks. Words of letters alone are encoded together; each has one id that ends a word, its last.
+        """Remembers chunks. Words of letters alone are encoded together; if each has one id that ends a word, it is its last.
 
-        A letter and the stop behind it are always apart, so a word with a stop is the word's ids and the stop's.
+        Every word has at least one such id, so as many of them as words means one each. A plain letter and the stop
+        behind it are always apart, so a plain word with a stop is the word's ids and the stop's. Any other chunk is
+        encoded by itself: composing and lower-casing may leave a mark last, which joins the stop.
         """
         if len(self) + len(chunks) > self.most:
             self.clear()
         chunks = {c for c in chunks if len(c) <= 64}
-        stopped = {c for c in chunks if c[-1] in ".," and c[:-1].isalpha()}
+        stopped = {c for c in chunks if c[-1] in ".," and PLAIN.fullmatch(c, 0, len(c) - 1)}
         words = [c for c in (chunks - stopped).union(c[:-1] for c in stopped).difference(self) if c.isalpha()]
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -201,19 +205,19 @@ def token_pieces(docs: DataFrame, path: str, length: int, end_id: int, key: str,
     return arrow_map(docs.select(F.col(key).cast("long"), text), make, "ident long, doc_tokens long, crcs array<long>")
 
 
-def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = 2048, unit: int = 8, end_id: int = 1, salt_rows: int = 100_000) -> DataFrame:
+def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = 2048, unit: int = 8, end_id: int = 1, salt_rows: int = 512) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and end_id; null counts as empty. Pieces of `length` ids fill sequences of their own; the
     rest of each document, rounded up to `unit` ids, is an item of the cutting-stock problem. Its histogram has at
     most length / unit rows, whatever the corpus; so have its patterns, twice over, which are broadcast. Documents are
-    ranked within their length class, and the rank names sequence and place. Ranks are counted in salted groups of
-    about salt_rows rows, so a common length is no hot group. Repeated keys are separate documents. No rows in, no
-    rows out; other columns are left out.
+    ranked within their length class, and the rank names sequence and place. Ranks are counted in groups of about
+    salt_rows rows, to which rows, not keys, are dealt, so neither a common length nor a repeated or null key is a hot
+    group. Repeated and null keys are separate documents. No rows in, no rows out; other columns are left out.
     """
     spark = docs.sparkSession
     capacity = -(-length // unit)
-    pieces = written(token_pieces(docs, path, length, end_id, key, text))
+    pieces = written(token_pieces(docs, path, length, end_id, key, text).withColumn("row", F.monotonically_increasing_id()))
     rest = pieces.withColumn("left", F.col("doc_tokens") % length).filter("left > 0").withColumn("units", F.ceil(F.col("left") / unit).cast("int"))
     histogram = sorted((r.units, r["count"]) for r in rest.groupBy("units").count().collect())
     weights, demand = np.array([k for k, _ in histogram], np.int64), np.array([n for _, n in histogram], np.int64)
@@ -226,10 +230,10 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     shared = spark.sparkContext.broadcast(plan)
     packed_sequences = int(base[-1])
 
-    salts = max(1, -(-int(demand.sum()) // salt_rows))
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64("ident"), F.lit(salts)))
+    salts = F.create_map(*[F.lit(x) for u, n in histogram for x in (u, -(-n // salt_rows))]) if histogram else F.create_map(F.lit(0), F.lit(1))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("row"), F.element_at(salts, F.col("units"))))
     group = Window.partitionBy("units", "salt")
-    ranked = salted.withColumn("nth", F.row_number().over(group.orderBy("ident", "doc_tokens")) - 1)
+    ranked = salted.withColumn("nth", F.row_number().over(group.orderBy("ident", "doc_tokens", "row")) - 1)
     sizes = salted.groupBy("units", "salt").count()
     below = sizes.select(F.col("units").alias("u"), F.col("salt").alias("s"), (F.sum("count").over(Window.partitionBy("units").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")).alias("below"))
     ranked = ranked.join(below, (F.col("units") == F.col("u")) & (F.col("salt") == F.col("s")))
@@ -239,20 +243,20 @@ def packed(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
         def run(batches):
             for batch in batches:
-                units, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+                units, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (5, 6))
                 sequence = np.zeros(len(units), np.int64)
                 for u in np.unique(units):
                     start, per, first = plan[int(u)]
                     mine = units == u
                     j = np.searchsorted(start, rank[mine], side="right") - 1
                     sequence[mine] = first[j] + (rank[mine] - start[j]) // per[j]
-                yield *(batch.column(k) for k in range(4)), sequence
+                yield *(batch.column(k) for k in range(5)), sequence
 
         return run
 
-    rows = ranked.select("ident", "doc_tokens", F.col("left").alias("size"), F.element_at("crcs", -1).alias("crc"), "units", (F.col("nth") + F.col("below")).alias("rank"))
-    placed = arrow_map(rows, place, "ident long, doc_tokens long, size long, crc long, sequence_id long")
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "ident", "crc").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranked.select("ident", "doc_tokens", F.col("left").alias("size"), F.element_at("crcs", -1).alias("crc"), "row", "units", (F.col("nth") + F.col("below")).alias("rank"))
+    placed = arrow_map(rows, place, "ident long, doc_tokens long, size long, crc long, row long, sequence_id long")
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "ident", "crc", "row").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("offset", F.sum("size").over(order) - F.col("size")).withColumn("start", F.col("doc_tokens") - F.col("size"))
     whole = pieces.filter(F.col("doc_tokens") >= length).select("ident", "doc_tokens", F.posexplode(F.slice("crcs", F.lit(1), F.floor(F.col("doc_tokens") / length).cast("int"))).alias("nth", "crc"))
     # One sequence per whole piece: numbered by place in the written table, above the packed sequences.
