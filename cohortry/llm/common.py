@@ -21,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is made here only where the session has none (single-machine tests).
+    Where the session has no such setting, a local master gets a temporary one (tests); a cluster is refused, as its
+    machines would write to folders of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cohortry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/cohortry-{uuid.uuid4().hex}"
@@ -38,6 +41,13 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def opened(path: str):
+    """The file system of a path or URI (file, hdfs, s3, gs) and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     """mapInArrow where make() is called once per task and gives a function from a batch iterator to column lists."""
     from pyspark.sql.types import StructType
@@ -55,8 +65,3 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
 def crc_mod(key: str, n: int):
     """crc32 of the key written as text, modulo n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
-
-
-def hashed_rows(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """The n rows of lowest key hash, the same for every partitioning: a bounded, documented sample."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)).limit(n)

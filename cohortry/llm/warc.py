@@ -19,20 +19,13 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import arrow_map, shared_dir, table, written
+from cohortry.llm.common import arrow_map, opened, shared_dir, table, written
 from cohortry.llm.zip_ranges import ZipRanges
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "1970-01-01T00:00:00Z"
 
 
-def opened(path: str):
-    """The file system of a path or URI (file, hdfs, s3, gs) and the path within it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

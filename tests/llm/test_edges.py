@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cohortry.llm import packing
+from cohortry.llm import decontaminate, packing
 
 ALPHABET = [*"abcXYZ.,'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
 
@@ -33,3 +33,17 @@ def test_packing_of_repeated_and_null_keys(spark):
     for pieces in places.values():
         pieces.sort()
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))] and sum(n for _, n in pieces) <= 32
+
+
+@pytest.mark.parametrize("block_bytes", [50, 8 << 20])
+def test_contamination_of_repeated_keys_over_blocks(spark, block_bytes):
+    items = [(1, "alpha beta gamma delta"), (2, "one two three four five"), (3, "red green blue"), (3, "black white"), (None, "north south"), (4, None), (5, " "), (1, "alpha beta gamma delta"), (6, "three four five six")]
+    texts = [(5, "x alpha beta gamma delta y z"), (5, "x one two three four five y"), (5, "one two three four five six"), (None, "north south"), (None, "red green blue black white"), (None, None), (7, "alpha beta gamma"), (5, "x alpha beta gamma delta y z")]
+    docs = spark.createDataFrame([(*t, "clash") for t in texts], "doc_id long, text string, item_id string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(str, (tuple(r)[:6] for r in decontaminate.contamination(docs, bench, shard_words=9, block_bytes=block_bytes).collect())))
+    want = decontaminate.brute_force(texts, items)
+    assert got == sorted(map(str, want))
+    left = decontaminate.uncontaminated(docs, bench, shard_words=9, block_bytes=block_bytes)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, (t for t, w in zip(texts, want) if not w[5])))
