@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,6 +42,36 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE, ROW = "__file", "__row"
+
+
+def with_row_keys(docs: DataFrame) -> DataFrame:
+    """docs with two columns more that name each row: the hash of its file's path and its place in that file.
+
+    They are the same at every reading. Rows that don't come straight from files are written first.
+    """
+    try:
+        return docs.withColumns({FILE: F.xxhash64("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+    except AnalysisException:
+        return written(docs).withColumns({FILE: F.xxhash64("_metadata.file_path"), ROW: F.col("_metadata.row_index")})
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs, which with_row_keys() has made, without those of rows. Where rows are few, Spark broadcasts them, by its size threshold."""
+    gone = written(rows.select(F.col(FILE).alias("gone_file"), F.col(ROW).alias("gone_row")))
+    return docs.join(gone, (F.col(FILE) == F.col("gone_file")) & (F.col(ROW) == F.col("gone_row")), "left_anti").drop(FILE, ROW)
+
+
+def all_but_first(rows: DataFrame, group: list[str], ident: str) -> DataFrame:
+    """Of rows with row keys those that aren't the first of their group, by ident (null last) and row key.
+
+    First ones are partial minima, and meet the rows by row key, so that a large group is no hot key.
+    """
+    first = rows.groupBy(*group).agg(F.min(F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("ident"), FILE, ROW)).alias("x"))
+    first = first.select(F.col(f"x.{FILE}").alias("first_file"), F.col(f"x.{ROW}").alias("first_row"))
+    return rows.join(first, (F.col(FILE) == F.col("first_file")) & (F.col(ROW) == F.col("first_row")), "left_anti")
+
+
 def opened(path: str):
     """The file system of a path or URI (file, hdfs, s3, gs) and the path within it."""
     from pyarrow import fs

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +48,8 @@ def entries_of(text: str, shortest: int, longest: int) -> set[str]:
     """Lexicon entries that a folded text holds: ' word ' and ' beginning'."""
     out = set()
     for word in set(text.split()):
-        if len(word) <= 40:
-            out.add(f" {word} ")
-            out.update(f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1))
+        out.add(f" {word} ")
+        out.update(f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1))
     return out
 
 
@@ -70,7 +70,10 @@ class Lexicon:
             self.machine.make_automaton()
 
     def matches(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, length, weight) of entries in a folded text: the highest weight at each word, none within an exception."""
+        """(start, length, weight) of entries in a folded text, by start: the highest weight at each word, none within an exception.
+
+        Exceptions and entries are swept once, so a text takes time in proportion to its matches.
+        """
         if not len(self.machine):
             return []
         spared, best = [], {}
@@ -80,7 +83,16 @@ class Lexicon:
                 spared.append((start, end))
             elif start not in best or weight > best[start][1]:
                 best[start] = (length, weight)
-        return [(s, n, w) for s, (n, w) in best.items() if not any(a <= s and s + n - 2 < b for a, b in spared)]
+        spared.sort()
+        out, k, reach = [], 0, -1  # reach: the end of the exceptions that have begun
+        for start in sorted(best):
+            while k < len(spared) and spared[k][0] <= start:
+                reach = max(reach, spared[k][1])
+                k += 1
+            length, weight = best[start]
+            if start + length - 2 >= reach:
+                out.append((start, length, weight))
+        return out
 
     def density(self, text: str) -> float:
         """Summed weights of a folded text over 1 + ln(1 + words): long texts need more, but not in proportion."""
@@ -119,12 +131,13 @@ def _greedy(odds: np.ndarray, names: list[str], holders: list[np.ndarray], least
     return chosen
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[float, float]:
-    """Slope and bias of a one-feature logistic regression by damped Newton steps."""
-    a, b = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[float, float]:
+    """Slope and bias of a one-feature logistic regression over weighted rows, by damped Newton steps."""
+    weight = weight * (len(y) / weight.sum())
+    a, b = 0.0, float(np.log(((weight * y).sum() + 0.5) / ((weight * (1 - y)).sum() + 0.5)))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -60, 60)))
-        r, w = p - y, np.maximum(p * (1 - p), 1e-9)
+        r, w = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-9)
         ga, gb = (r * x).sum() + penalty * a, r.sum() + penalty * b
         haa, hab, hbb = (w * x * x).sum() + penalty, (w * x).sum(), w.sum() + penalty
         det = haa * hbb - hab * hab
@@ -136,24 +149,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int =
     return max(a, 0.0), b
 
 
-def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 3, least_odds: float = 3.0, shortest: int = 3, longest: int = 7, most_candidates: int = 20_000, most_entries: int = 2_000) -> Lexicon:
+def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 2, least_odds: float = 1.5, shortest: int = 3, longest: int = 7, most_candidates: int = 20_000, most_entries: int = 2_000, most_exceptions: int = 5_000) -> Lexicon:
     """A lexicon from labelled rows (ident, text, toxic 0/1).
 
-    Fits on about most_rows rows (documented bound): those whose identifier hash falls below most_rows / rows. An
-    entry needs `least` toxic rows (two, below a hundred toxic rows) and smoothed log odds of which least_odds are left
-    at 1.64 standard errors below the estimate (1.5, below a hundred toxic rows). Without toxic or without clean rows, the lexicon is empty and scores are the
-    share of toxic rows, smoothed.
+    Fits on about most_rows rows (documented bound), half of either label or all that there are, by identifier hash;
+    the final regression weighs them by how many they stand for. An entry needs `least` toxic rows and smoothed log
+    odds of which least_odds are left at 1.64 standard errors below the estimate: the fewer rows, the stronger an entry
+    must be, and one rule serves every size. The model's size is bounded by its parameters: the most_candidates entries
+    of the highest bound times toxic rows are candidates, at most most_entries of them and most_exceptions exception
+    phrases are kept. Without toxic or without clean rows, the lexicon is empty and scores are the share of toxic rows,
+    smoothed.
     """
     spark = rows.sparkSession
-    total = rows.count()
-    share = F.lit(min(1.0, most_rows / max(1, total)))
+    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if not sizes.get(1) or not sizes.get(0):
+        return Lexicon(bias=float(np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5))))
+    shares = {k: min(1.0, most_rows / 2 / n) for k, n in sizes.items()}
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     picked = written(rows.filter(F.abs(F.xxhash64("ident") % 1_000_003) / 1_000_003.0 < share).select(F.col("ident").cast("long"), "text", F.col("toxic").cast("int")))
     sizes = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return Lexicon(bias=float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
-    if n_toxic < 100:
-        least, least_odds = min(least, 2), min(least_odds, 1.5)
 
     def count():
         def run(batches):
@@ -199,7 +216,7 @@ def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 3, le
             holders[k].append(row)
     chosen = _greedy(sure, names, [np.array(h, np.int64) for h in holders], least, most_entries)
     lexicon = Lexicon({names[k]: float(weights[k]) for k in chosen})
-    lexicon = Lexicon(lexicon.weights, _exceptions(picked, lexicon))
+    lexicon = Lexicon(lexicon.weights, _exceptions(picked, lexicon, most_exceptions))
     seen = picked.select("text", "toxic")
     shared = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions))
 
@@ -213,11 +230,12 @@ def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 3, le
         return run
 
     pairs = arrow_map(seen, weigh, "x double, toxic int").toPandas()
-    slope, bias = _logistic(pairs.x.to_numpy(float), pairs.toxic.to_numpy(float))
+    toxic = pairs.toxic.to_numpy(float)
+    slope, bias = _logistic(pairs.x.to_numpy(float), toxic, 1 / np.where(toxic == 1, shares[1], shares[0]))
     return Lexicon(lexicon.weights, lexicon.exceptions, slope, bias)
 
 
-def _exceptions(picked: DataFrame, lexicon: Lexicon, least: int = 3, most: int = 5_000) -> tuple[str, ...]:
+def _exceptions(picked: DataFrame, lexicon: Lexicon, most: int, least: int = 3) -> tuple[str, ...]:
     """Two-word phrases round a match that at least `least` clean rows use, and ten times as many clean as toxic rows."""
     shared = picked.sparkSession.sparkContext.broadcast(lexicon.weights)
 
@@ -248,18 +266,24 @@ def _exceptions(picked: DataFrame, lexicon: Lexicon, least: int = 3, most: int =
     return tuple(r.phrase for r in rows)
 
 
+def fitted_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 12_000) -> Lexicon:
+    """The lexicon of those rows of docs that have labels and whose crc32 of the key, as text, modulo 3 is not 1.
+
+    A document with several labels is toxic if one says so, and null labels count for nothing.
+    """
+    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    rows = docs.select(F.col(key).alias("ident"), F.col(text).alias("text")).filter(crc_mod("ident", 3) != 1)
+    return learned_lexicon(rows.join(known, F.col("ident") == F.col("known")).select("ident", "text", "toxic"), most_rows)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 12_000) -> DataFrame:
     """One row per row of docs: key, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    Learns from labels of rows whose crc32 of the key, as text, modulo 3 is not 1; a document with several labels is
-    toxic if one says so, and null labels count for nothing. Only the text is read for a score. Null and empty texts
-    score as texts without a match. Repeated rows score alike; no rows in, no rows out; other columns are left out.
+    The lexicon is that of fitted_lexicon(). Only the text is read for a score. Null and empty texts score as texts
+    without a match. Repeated rows score alike; no rows in, no rows out; other columns are left out.
     """
-    spark = docs.sparkSession
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
-    train = docs.select(F.col(key).alias("ident"), F.col(text).alias("text")).filter(crc_mod("ident", 3) != 1).join(known, F.col("ident") == F.col("known")).select("ident", "text", "toxic")
-    lexicon = learned_lexicon(train, most_rows)
-    shared = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias))
+    lexicon = fitted_lexicon(docs, labels, key, text, label, most_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias))
 
     def make():
         scorer = Lexicon(*shared.value)
@@ -275,5 +299,22 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return arrow_map(rows, make, f"`{key}` long, held_out boolean, score double, predicted int")
 
 
+def nontoxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 12_000) -> DataFrame:
+    """The rows of docs that toxicity() doesn't predict to be toxic, with all columns. Rows don't leave their partition."""
+    lexicon, nth = fitted_lexicon(docs, labels, key, text, label, most_rows), docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias))
+
+    def make():
+        scorer = Lexicon(*shared.value)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array([scorer.score(t.as_py()) < threshold for t in batch.column(nth)], pa.bool_())).columns
+
+        return run
+
+    return arrow_map(docs, make, docs.schema)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

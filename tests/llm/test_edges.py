@@ -1,13 +1,15 @@
 """Edge cases of the text operators: repeated and null keys, odd characters, many blocks, against brute force or the library."""
 
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, packing
+from cohortry.llm import decontaminate, exact_dedup, packing, toxicity
 
 ALPHABET = [*"abcXYZ.,'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
 
@@ -47,3 +49,54 @@ def test_contamination_of_repeated_keys_over_blocks(spark, block_bytes):
     left = decontaminate.uncontaminated(docs, bench, shard_words=9, block_bytes=block_bytes)
     assert left.columns == docs.columns
     assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, (t for t, w in zip(texts, want) if not w[5])))
+
+
+def test_unequal_texts_of_one_digest_are_told_apart(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(12)]), rng.choice("abcdefghijklmnop") * rng.randint(1, 3)) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def short(text):
+        return F.unhex(F.rpad(F.substring(F.sha2(F.encode(text, "utf-8"), 256), 1, 1), 64, "0"))
+
+    got = exact_dedup.exact_duplicates(docs, digest=short, memtable_rows=50, salts=3, hot_share=20).select("doc_id", "keep_id", "group_size", "kept").collect()
+    groups: dict[str, list] = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    low = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, ((i, low[t], len(groups[t]), i == low[t]) for i, t in rows)))
+
+
+def plain_matches(lexicon, line):
+    """Entries at each place, of which the heaviest counts, but for those within an exception: read literally."""
+    spans = [(s, s + len(p) + 2) for p in lexicon.exceptions for s in range(len(line)) if line.startswith(f" {p} ", s)]
+    out = []
+    for s in range(len(line)):
+        here = [(w, len(e)) for e, w in lexicon.weights.items() if line.startswith(e, s)]
+        if here:
+            w = max(w for w, _ in here)
+            n = next(n for v, n in sorted(here, key=lambda x: x[1]) if v == w)
+            if not any(a <= s and s + n - 1 < b for a, b in spans):
+                out.append((s, n, w))
+    return out
+
+
+def test_lexicon_matches_equal_a_plain_search():
+    lexicon = toxicity.Lexicon({" vil": 2.0, " villain ": 3.0, " nit ": 1.5, " a": 1.0, " ab ": 4.0}, ("pantomime villain", "nit ab", "ab ab"))
+    rng = random.Random(9)
+    for _ in range(400):
+        line = toxicity.folded(" ".join(rng.choice(["vi11ain", "pantomime", "nit", "ab", "a", "vile", "x"]) for _ in range(rng.randint(0, 12))))
+        lexicon_entries = {toxicity.folded(e).rstrip() + (" " if e.endswith(" ") else ""): w for e, w in lexicon.weights.items()}
+        folded = toxicity.Lexicon(lexicon_entries, tuple(toxicity.folded(p).strip() for p in lexicon.exceptions))
+        assert folded.matches(line) == plain_matches(folded, line), line
+
+
+def test_lexicon_takes_time_in_proportion_to_matches():
+    lexicon = toxicity.Lexicon({" viiiain ": 3.0}, ("pantomime viiiain",))
+    seconds = []
+    for n in (20_000, 200_000):
+        line = toxicity.folded("pantomime villain " * n)
+        began = time.perf_counter()
+        assert lexicon.matches(line) == []
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0]
