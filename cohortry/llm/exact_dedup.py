@@ -8,13 +8,15 @@ the filter; only possible repeats travel, join the compacted index and are compa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import arrow_map, table, written
+from cohortry.llm.common import FILE, ROW, all_but_first, arrow_map, table, with_row_keys, without_rows, written
 
 DIGEST = 32
 PROBES = 5
@@ -79,8 +81,8 @@ def flush_runs(digests: DataFrame, ranges: int, memtable_rows: int = 200_000) ->
 NO_ID = np.iinfo(np.int64).max
 
 
-def compact(runs: DataFrame, slices: int, ranges: int, slice_bits: int) -> DataFrame:
-    """Level 1: one row per range with the repeated digests, their smallest identifiers, counts, and their bits in the slice of the filter that the range belongs to."""
+def compact(runs: DataFrame) -> DataFrame:
+    """Level 1: one row per range with the repeated digests, their smallest identifiers and counts."""
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(b"".join(pdf.digests), np.uint8).reshape(-1, DIGEST)
@@ -90,21 +92,22 @@ def compact(runs: DataFrame, slices: int, ranges: int, slice_bits: int) -> DataF
         first = np.flatnonzero(np.r_[True, (raw[1:] != raw[:-1]).any(axis=1)])
         ids, counts, raw = np.minimum.reduceat(ids, first), np.add.reduceat(counts, first), raw[first]
         again = counts > 1
-        bits = np.zeros(slice_bits, np.uint8)
-        bits[_bits_of(raw[again], slice_bits).ravel()] = 1
-        return pd.DataFrame({"slice": [int(pdf.bucket.iloc[0]) * slices // ranges], "digests": [raw[again].tobytes()], "ids": [ids[again].tobytes()], "counts": [counts[again].tobytes()], "filter": [np.packbits(bits).tobytes()]})
+        return pd.DataFrame({"bucket": [int(pdf.bucket.iloc[0])], "digests": [raw[again].tobytes()], "ids": [ids[again].tobytes()], "counts": [counts[again].tobytes()]})
 
-    return runs.groupBy("bucket").applyInPandas(merge, "slice int, digests binary, ids binary, counts binary, filter binary")
+    return runs.groupBy("bucket").applyInPandas(merge, "bucket int, digests binary, ids binary, counts binary")
 
 
-def united(level: DataFrame) -> DataFrame:
-    """The filter's slices (slice, filter): those of all ranges of a slice, joined bit by bit."""
+def filter_slices(level: DataFrame, slices: int, ranges: int, slice_bits: int) -> DataFrame:
+    """The Bloom filter's slices (slice, filter), each over the digests of neighbouring ranges."""
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in pdf["filter"]])
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "filter": [bits.tobytes()]})
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(slice_bits, np.uint8)
+        for digests in pdf.digests:
+            bits[_bits_of(np.frombuffer(digests, np.uint8).reshape(-1, DIGEST), slice_bits).ravel()] = 1
+        return pd.DataFrame({"slice": [int(pdf.bucket.iloc[0]) * slices // ranges], "filter": [np.packbits(bits).tobytes()]})
 
-    return level.select("slice", "filter").groupBy("slice").applyInPandas(unite, "slice int, filter binary")
+    nth = F.floor(F.col("bucket").cast("long") * slices / ranges)
+    return level.select("bucket", "digests").groupBy(nth.alias("nth")).applyInPandas(fill, "slice int, filter binary")
 
 
 def _entries(level: DataFrame) -> DataFrame:
@@ -120,66 +123,85 @@ def _entries(level: DataFrame) -> DataFrame:
     return arrow_map(level.select("digests", "ids", "counts"), make, "digest binary, keep long, n long")
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 26, most_slices: int = 4096) -> DataFrame:
-    """One row per row of docs: key, keep_id, group_size, kept, text_sha256.
+def sha256(text: Column) -> Column:
+    """A text's digest of DIGEST bytes."""
+    return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
+
+
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 28, most_slices: int = 4096, hot_share: int = 256, salts: int = 64, digest: Callable[[Column], Column] = sha256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: key, keep_id, group_size, kept, text_sha256 (hex of the digest), and the long columns carry.
 
     Texts are equal when identical after each white-space run becomes one space; null counts as empty. The smallest
     key of equal texts stays. A null key is above all others. Rows that repeat the smallest key are all kept.
-    The Bloom filter has at most filter_bits bits (8 MB) in most_slices slices, whatever the size of docs and however
-    many ranges the index has; when it fills up, more rows are joined and none is lost. No rows in, no rows out; other columns of docs are left out.
+    The Bloom filter has 16 bits a repeated digest, at most filter_bits bits (32 MB) in most_slices slices, whatever the
+    size of docs and however many ranges the index has; when it fills up, more rows are joined and none is lost.
+    Digests that one in hot_share rows has, of which there can be hot_share, are dealt over salts when their texts are
+    compared. No rows in, no rows out; other columns of docs are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("ident"), normalised(text).alias("body")).withColumn("digest", F.unhex(F.sha2(F.encode("body", "utf-8"), 256)))
+    rows = docs.select(F.col(key).cast("long").alias("ident"), normalised(text).alias("body"), *carry).withColumn("digest", digest(F.col("body")))
     digests = written(rows.select("digest", "ident"))
     total = digests.count()
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, total / range_rows)))))
+    level = written(compact(flush_runs(digests, ranges, memtable_rows)))
+    entries = written(_entries(level))
+    repeated = entries.count()
     slices = min(ranges, most_slices)
-    slice_bits = max(64, min(filter_bits, 1 << int(np.ceil(np.log2(16 * max(1, total))))) // slices)
-    level = written(compact(flush_runs(digests, ranges, memtable_rows), slices, ranges, slice_bits))
+    slice_bits = max(64, min(filter_bits, 1 << int(np.ceil(np.log2(16 * max(1, repeated))))) // slices)
     bits = bytearray(-(-slice_bits // 8) * slices)
-    for bucket, part in ((r["slice"], r["filter"]) for r in united(level).collect()):
+    for bucket, part in ((r["slice"], r["filter"]) for r in filter_slices(level, slices, ranges, slice_bits).collect()):
         bits[bucket * len(part) : (bucket + 1) * len(part)] = part
-    shared = spark.sparkContext.broadcast(bytes(bits))
+    hot = frozenset(bytes(r.digest) for r in entries.filter(F.col("n") * hot_share >= max(total, hot_share)).filter(F.col("n") > salts).select("digest").collect())
+    shared = spark.sparkContext.broadcast((bytes(bits), hot))
     stride = -(-slice_bits // 8) * 8
 
     def probe():
-        filled = np.frombuffer(shared.value, np.uint8)
+        filled, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
 
         def run(batches):
             for batch in batches:
-                flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, DIGEST)
+                own = batch.column(1).to_pylist()
+                flat = np.frombuffer(b"".join(own), np.uint8).reshape(-1, DIGEST)
                 if not len(flat):
                     continue
                 at = (_ranges_of(flat, slices) * stride)[:, None] + _bits_of(flat, slice_bits)
                 maybe = ((filled[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
                 body = pa.compute.if_else(pa.array(maybe), batch.column(2), pa.scalar(None, batch.column(2).type))
-                yield batch.column(0), batch.column(1), pa.array(maybe), body
+                yield batch.column(0), batch.column(1), pa.array(maybe), body, [k % salts if d in hot else 0 for k, d in enumerate(own)], *batch.columns[3:]
 
         return run
 
-    probed = written(arrow_map(rows.select("ident", "digest", "body"), probe, "ident long, digest binary, maybe boolean, body string"))
-    alone = probed.filter(~F.col("maybe")).select("ident", "digest", F.col("ident").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    maybe = probed.filter("maybe").select("ident", "digest", "body")
-    entries = _entries(level)
+    carried = "".join(f", `{c}` long" for c in carry)
+    probed = written(arrow_map(rows.select("ident", "digest", "body", *carry), probe, f"ident long, digest binary, maybe boolean, body string, salt int{carried}"))
+    alone = probed.filter(~F.col("maybe")).select("ident", "digest", F.col("ident").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *carry)
+    maybe = probed.filter("maybe").select("ident", "digest", "body", "salt", *carry)
     keeper = maybe.join(entries.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.coalesce("ident", F.lit(int(NO_ID))) == F.col("keep")))
     keeper = keeper.groupBy("d").agg(F.min("ident").alias("keep"), F.max("n").alias("n"), F.max("body").alias("kept_body"))
-    keeper = keeper.select(F.concat(F.lit(b""), "d").alias("d2"), "keep", "n", "kept_body")
-    hits = maybe.join(keeper, F.col("digest") == F.col("d2"), "left")
-    same = F.col("body") == F.col("kept_body")
-    # Equal digests of unequal texts: grouped anew by the texts themselves.
-    clash = hits.filter(~same).groupBy("digest", "body").agg(F.min("ident").alias("k"), F.count("*").alias("c"))
-    clash = clash.select(F.col("digest").alias("cd"), F.col("body").alias("cb"), "k", "c")
-    lost = clash.groupBy("cd").agg(F.sum("c").alias("lost")).select(F.concat(F.lit(b""), "cd").alias("ld"), "lost")
-    good = hits.filter(same | F.col("d2").isNull())
-    if clash.limit(1).count():
-        good = good.join(lost, F.col("digest") == F.col("ld"), "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0)))
-        split = hits.filter(~same).join(clash, (F.col("digest") == F.col("cd")) & (F.col("body") == F.col("cb")))
-        clashed = split.select("ident", "digest", F.col("k").alias("keep_id"), F.col("c").alias("group_size"))
-    else:
-        clashed = None
-    good = good.select("ident", "digest", F.when(F.col("d2").isNull(), F.col("ident")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))
-    out = alone.unionByName(good) if clashed is None else alone.unionByName(good).unionByName(clashed)
-    return out.select(F.col("ident").alias(key), "keep_id", "group_size", F.col("ident").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    every = F.when(F.col("d").isin(*map(bytearray, hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+    keeper = keeper.select(F.concat(F.lit(b""), "d").alias("d2"), "keep", "n", "kept_body", F.explode(every).alias("s2"))
+    hits = maybe.join(keeper, (F.col("digest") == F.col("d2")) & (F.col("salt") == F.col("s2")), "left")
+    same = F.col("d2").isNull() | (F.col("body") == F.col("kept_body"))
+    keep_id, size = F.when(F.col("d2").isNull(), F.col("ident")).otherwise(F.col("keep")), F.coalesce("n", F.lit(1)).cast("long")
+    # Texts are only kept where they differ from the text that their digest stands for.
+    hits = written(hits.select("ident", "digest", keep_id.alias("keep_id"), size.alias("group_size"), same.alias("same"), F.when(~same, F.col("body")).alias("other"), *carry))
+    good = hits.filter("same")
+    if hits.filter(~F.col("same")).limit(1).count():
+        # Equal digests of unequal texts: grouped anew by the texts themselves.
+        clash = hits.filter(~F.col("same")).groupBy("digest", "other").agg(F.min("ident").alias("k"), F.count("*").alias("c"))
+        clash = written(clash.select(F.col("digest").alias("cd"), F.col("other").alias("cb"), "k", "c"))
+        lost = clash.groupBy("cd").agg(F.sum("c").alias("lost")).select(F.concat(F.lit(b""), "cd").alias("ld"), "lost")
+        good = good.join(lost, F.col("digest") == F.col("ld"), "left").withColumn("group_size", F.col("group_size") - F.coalesce("lost", F.lit(0)))
+        split = hits.filter(~F.col("same")).join(clash, (F.col("digest") == F.col("cd")) & (F.col("other") == F.col("cb")))
+        alone = alone.unionByName(split.select("ident", "digest", F.col("k").alias("keep_id"), F.col("c").alias("group_size"), *carry))
+    out = alone.unionByName(good.select("ident", "digest", "keep_id", "group_size", *carry))
+    return out.select(F.col("ident").alias(key), "keep_id", "group_size", F.col("ident").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), *carry)
+
+
+def first_of_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of all that have equal texts: that of the smallest key, the first in its file of several."""
+    keyed = with_row_keys(docs)
+    groups = written(exact_duplicates(keyed, key, text, carry=(FILE, ROW)).filter("group_size > 1"))
+    return without_rows(keyed, all_but_first(groups, ["text_sha256", "keep_id"], key))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
