@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortry.llm.common import LOWER, arrow_map, table, written
+from cohortry.llm.common import FILE, LOWER, ROW, all_but_first, arrow_map, table, with_row_keys, without_rows, written
 from cohortry.llm.graph import components
 
 
@@ -29,18 +29,18 @@ def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """(ident, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(ident, fp) and the long columns carry: fp is the fingerprint as a signed long."""
 
     def make():
         def run(batches):
             for batch in batches:
                 fps = np.fromiter((fingerprint_of(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
-                yield batch.column(0), fps.view(np.int64)
+                yield batch.column(0), fps.view(np.int64), *batch.columns[2:]
 
         return run
 
-    return arrow_map(docs.select(F.col(key).cast("long"), text), make, "ident long, fp long")
+    return arrow_map(docs.select(F.col(key).cast("long"), text, *carry), make, ", ".join(f"`{c}` long" for c in ("ident", "fp", *carry)))
 
 
 def _variants(fps: DataFrame, segments: int) -> DataFrame:
@@ -78,22 +78,36 @@ def links(fps: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     return left.join(right, (F.col("ls") == F.col("rs")) & near & ((F.col("side") == 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
-def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, segments: int = 2) -> DataFrame:
-    """One row per row of docs: key, fingerprint (16 hex digits), component_id (smallest key reachable by links).
+def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, segments: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: ident, fp, component_id (smallest key reachable), root (a fingerprint that names the component), carry.
 
-    Null and empty texts have fingerprint zero and link like any other. A null key never is a component's smallest,
-    unless all are null. Repeated rows share a component. No rows in, no rows out; other columns are left out.
     Links are sought between distinct fingerprints, so copies cost one row.
     """
-    rows = written(fingerprints(docs, key, text, width))
+    rows = written(fingerprints(docs, key, text, width, carry))
     nodes = written(rows.groupBy("fp").agg(F.min("ident").alias("least")))
     roots = components(links(nodes.select("fp"), most, segments))
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     low = linked.groupBy("root").agg(F.min("least").alias("low"))
     low = low.select((F.col("root") + F.lit(0)).alias("low_root"), "low")
-    better = linked.join(low, F.col("root") == F.col("low_root")).select(F.col("fp").alias("better_fp"), "low")
-    named = written(nodes.join(better, F.col("fp") == F.col("better_fp"), "left").select(F.col("fp").alias("named_fp"), F.coalesce("low", "least").alias("component_id")))
-    return rows.join(named, F.col("fp") == F.col("named_fp")).select(F.col("ident").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    better = linked.join(low, F.col("root") == F.col("low_root")).select(F.col("fp").alias("better_fp"), "low", "root")
+    named = written(nodes.join(better, F.col("fp") == F.col("better_fp"), "left").select(F.col("fp").alias("named_fp"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.coalesce("root", "fp").alias("root")))
+    return rows.join(named, F.col("fp") == F.col("named_fp")).drop("named_fp")
+
+
+def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, segments: int = 2) -> DataFrame:
+    """One row per row of docs: key, fingerprint (16 hex digits), component_id (smallest key reachable by links).
+
+    Null and empty texts have fingerprint zero and link like any other. A null key never is a component's smallest,
+    unless all are null. Repeated rows share a component. No rows in, no rows out; other columns are left out.
+    """
+    return simhash_groups(docs, key, text, width, most, segments).select(F.col("ident").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, segments: int = 2) -> DataFrame:
+    """docs with one row of every component of near duplicates: that of the smallest key, the first in its file of several."""
+    keyed = with_row_keys(docs)
+    groups = simhash_groups(keyed, key, text, width, most, segments, (FILE, ROW))
+    return without_rows(keyed, all_but_first(groups, ["root"], "ident"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
