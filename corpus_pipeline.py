@@ -4,43 +4,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortry.llm.common import table, written
-from cohortry.llm.decontaminate import contamination
-from cohortry.llm.exact_dedup import exact_duplicates
+from cohortry.llm.decontaminate import uncontaminated
+from cohortry.llm.exact_dedup import first_of_copies
 from cohortry.llm.packing import packed
-from cohortry.llm.simhash import simhash_components
-from cohortry.llm.toxicity import toxicity
-
-
-def _without(docs: DataFrame, judged: DataFrame, rejected) -> DataFrame:
-    """docs without the documents that judged rejects. Where an identifier repeats, it goes if all its rows are rejected.
-
-    Only identifiers travel: Spark broadcasts those rejected while they are few, by its size threshold.
-    """
-    gone = judged.groupBy(F.col("doc_id").alias("__gone")).agg(F.min(rejected.cast("int")).alias("all")).filter(F.col("all") == 1).select("__gone")
-    return docs.join(written(gone), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+from cohortry.llm.simhash import first_of_groups
+from cohortry.llm.toxicity import nontoxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the lexicon is learned from labels."""
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")), F.col("predicted") == 1)
+    """Documents that score as toxic go; the lexicon is learned from labels. Every row is judged by itself."""
+    return nontoxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document of the smallest identifier stays."""
-    return _without(docs, exact_duplicates(docs), ~F.col("kept"))
+    """Of equal texts one row stays, that of the smallest identifier."""
+    return first_of_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every near-duplicate group, the document of the smallest identifier stays."""
-    return _without(docs, simhash_components(docs), ~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """Of every near-duplicate group one row stays, that of the smallest identifier."""
+    return first_of_groups(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")), F.col("contaminated"))
+    """Documents contaminated by the benchmark go. Every row is judged by itself."""
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
