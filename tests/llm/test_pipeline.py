@@ -40,9 +40,26 @@ def test_stages(spark):
         assert stage(spark, none, FOLDER).count() == 0
 
 
-def test_repeated_identifiers_stay_while_one_row_is_kept(spark):
+def test_no_rejected_row_stays_where_identifiers_repeat(spark):
     import corpus_pipeline as pipeline
 
-    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "a"), (None, "a")], "doc_id long, text string")
-    left = pipeline.drop_copies(spark, docs, FOLDER)
-    assert sorted(map(str, (tuple(r) for r in left.collect()))) == ["(1, 'a')", "(2, 'a')", "(2, 'b')"]
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "a"), (None, "a"), (3, "b"), (4, "c"), (4, "c"), (None, "d"), (None, "d"), (None, "e")], "doc_id long, text string").repartition(3)
+
+    def left(stage, rows):
+        return sorted(map(str, (tuple(r) for r in stage(spark, rows, FOLDER).collect())))
+
+    assert left(pipeline.drop_copies, docs) == ["(1, 'a')", "(2, 'b')", "(4, 'c')", "(None, 'd')", "(None, 'e')"]
+    near = left(pipeline.drop_near_copies, docs)
+    assert len(near) == 5 and near == sorted(set(near))
+    item = next(r.text for r in table(spark, FOLDER, "benchmark").collect() if len((r.text or "").split()) > 13)
+    two = spark.createDataFrame([(9, item), (9, "clean words only"), (None, item), (None, None)], "doc_id long, text string")
+    assert left(pipeline.drop_contaminated, two) == ["(9, 'clean words only')", "(None, None)"]
+
+
+def test_toxic_rows_go_one_by_one(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from cohortry.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "fitted_lexicon", lambda *_: toxicity.Lexicon({" idiot ": 5.0}, (), 4.0, -3.0))
+    rows = spark.createDataFrame([(9, "you 1diot"), (9, "fine"), (None, "idiot"), (None, None)], "doc_id long, text string")
+    assert sorted(map(str, (tuple(r) for r in pipeline.drop_toxic(spark, rows, FOLDER).collect()))) == ["(9, 'fine')", "(None, None)"]
