@@ -7,26 +7,11 @@ import numpy as np
 END, RARE = 0, 1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """x is used up."""
-    np.negative(x, out=x)
+def _exp_sums(x: np.ndarray) -> np.ndarray:
+    """Row sums of exp(x). x becomes exp(x); logits count as 80 at most, which keeps every sum finite."""
+    np.minimum(x, 80, out=x)
     np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
-def _log_probability_of(x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Entries of the row-wise log softmax, one per row. x is used up."""
-    top = x.max(axis=1)
-    picked = x[np.arange(len(x)), target] - top
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return picked - np.log(x.sum(axis=1))
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 class GatedLM:
@@ -66,33 +51,56 @@ class GatedLM:
         return self
 
     def states(self, before: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of T steps of B lanes; a document starts after an END, from the zero state."""
+        """States after each of T steps of B lanes; a document starts after an END, from the zero state.
+
+        Within, lanes are the last axis, so that each gate is one stretch of memory. keep gets the states before each
+        step, the gates, the candidates and what the reset gate weighs.
+        """
         n, w = self.hidden, self.weights
-        inputs = w["input"][before] + w["bias"]
-        fresh = before == END
-        out = np.empty((*before.shape, n), np.float32)
+        inputs = np.ascontiguousarray((w["input"] + w["bias"])[before].transpose(0, 2, 1))
+        goes_on = (before != END).astype(inputs.dtype)[:, None, :]
+        shape = len(before), n, before.shape[1]
+        out, from_state = np.empty(shape, inputs.dtype), np.empty(inputs.shape, inputs.dtype)
+        old, more, h, across = np.empty_like(out), np.empty_like(out[0]), h.T, np.ascontiguousarray(w["state"].T)
         for t in range(len(before)):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            u = h @ w["state"]
-            gates = _sigmoid(inputs[t, :, : 2 * n] + u[:, : 2 * n])
-            r, z = gates[:, :n], gates[:, n:]
-            c = np.tanh(inputs[t, :, 2 * n :] + r * u[:, 2 * n :])
-            if keep is not None:
-                keep.append((h, r, z, c, u[:, 2 * n :]))
-            h = c + z * (h - c)
-            out[t] = h
-        return out
+            np.multiply(h, goes_on[t], out=old[t])
+            u, gates, c = from_state[t], inputs[t, : 2 * n], inputs[t, 2 * n :]
+            np.matmul(across, old[t], out=u)
+            gates += u[: 2 * n]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5  # the logistic function
+            np.multiply(gates[:n], u[2 * n :], out=more)
+            c += more
+            np.tanh(c, out=c)
+            h = out[t]
+            np.subtract(old[t], c, out=h)
+            h *= gates[n:]
+            h += c
+        if keep is not None:
+            keep += [old, inputs[:, :n], inputs[:, n : 2 * n], inputs[:, 2 * n :], from_state[:, 2 * n :]]
+        return np.ascontiguousarray(out.transpose(0, 2, 1))
+
+    def _by_class(self, group: np.ndarray):
+        """(class, its rows) for the classes of rows, in order."""
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        edges = np.searchsorted(group[order], np.arange(len(self.weights["word"]) + 1))
+        for c in np.flatnonzero(np.diff(edges)):
+            yield c, order[edges[c] : edges[c + 1]]
 
     def log_probabilities(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of target numbers, one per row of states."""
         w, group = self.weights, target // self.width
-        out = _log_probability_of(states @ w["class"] + w["class_bias"], group).astype(np.float64)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(len(w["word"]) + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c] : edges[c + 1]]
-            out[rows] += _log_probability_of(states[rows] @ w["word"][c] + w["word_bias"][c], target[rows] % self.width)
+        x = states @ w["class"]
+        x += w["class_bias"]
+        picked = x[np.arange(len(x)), group].astype(np.float64)
+        out = np.minimum(picked, 80) - np.log(_exp_sums(x))
+        for c, rows in self._by_class(group):
+            x = states[rows] @ w["word"][c]
+            x += w["word_bias"][c]
+            picked = x[np.arange(len(x)), target[rows] % self.width].astype(np.float64)
+            out[rows] += np.minimum(picked, 80) - np.log(_exp_sums(x))
         return out
 
     def learn(self, before: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray, memory: dict, rate: float) -> np.ndarray:
@@ -100,47 +108,53 @@ class GatedLM:
         w, n, kept = self.weights, self.hidden, []
         states = self.states(before, h, kept)
         last = states[-1].copy()
-        flat, goal = states.reshape(-1, n), target.ravel()
         rows = np.flatnonzero(live.ravel())
-        flat, goal = flat[rows], goal[rows]
+        flat, goal = states.reshape(-1, n)[rows], target.ravel()[rows]
         group, scale = goal // self.width, np.float32(1 / max(1, len(rows)))
-        grad = {k: np.zeros_like(x) for k, x in w.items() if k != "input"}
-        by_class = np.exp(_log_softmax(flat @ w["class"] + w["class_bias"]))
-        by_class[np.arange(len(goal)), group] -= 1
-        by_class *= scale
-        grad["class"], grad["class_bias"] = flat.T @ by_class, by_class.sum(axis=0)
-        up = by_class @ w["class"].T
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(len(w["word"]) + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            mine = order[edges[c] : edges[c + 1]]
-            x = np.exp(_log_softmax(flat[mine] @ w["word"][c] + w["word_bias"][c]))
-            x[np.arange(len(mine)), goal[mine] % self.width] -= 1
-            x *= scale
-            grad["word"][c], grad["word_bias"][c] = flat[mine].T @ x, x.sum(axis=0)
+        grad = {"word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        x = flat @ w["class"]
+        x += w["class_bias"]
+        x *= (scale / _exp_sums(x))[:, None]
+        x[np.arange(len(goal)), group] -= scale
+        grad["class"], grad["class_bias"] = flat.T @ x, x.sum(axis=0)
+        up = x @ w["class"].T
+        for c, mine in self._by_class(group):
+            own = flat[mine]
+            x = own @ w["word"][c]
+            x += w["word_bias"][c]
+            x *= (scale / _exp_sums(x))[:, None]
+            x[np.arange(len(mine)), goal[mine] % self.width] -= scale
+            grad["word"][c], grad["word_bias"][c] = own.T @ x, x.sum(axis=0)
             up[mine] += x @ w["word"][c].T
-        d_out = np.zeros((before.size, n), np.float32)
+        d_out = np.zeros((before.size, n), states.dtype)
         d_out[rows] = up
-        d_out = d_out.reshape(*before.shape, n)
-        d_in = np.empty((*before.shape, 3 * n), np.float32)
-        d_h = np.zeros_like(h)
+        d_out = np.ascontiguousarray(d_out.reshape(*before.shape, n).transpose(0, 2, 1))
+        old, r, z, c, weighed = kept
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (old - c) * (z - z * z), weighed * (r - r * r)
+        goes_on = (before != END).astype(states.dtype)[:, None, :]
+        d_in, d_u = (np.empty((len(before), 3 * n, before.shape[1]), states.dtype) for _ in range(2))
+        d_h = np.zeros_like(d_out[0])
         for t in range(len(before) - 1, -1, -1):
-            h_before, r, z, c, u_c = kept[t]
-            d_h = d_h + d_out[t]
-            d_c = d_h * (1 - z) * (1 - c * c)
-            d_z = d_h * (h_before - c) * z * (1 - z)
-            d_r = d_c * u_c * r * (1 - r)
-            d_in[t] = np.concatenate([d_r, d_z, d_c], axis=1)
-            d_u = np.concatenate([d_r, d_z, d_c * r], axis=1)
-            grad["state"] += h_before.T @ d_u
-            d_h = np.where((before[t] == END)[:, None], np.float32(0), d_h * z + d_u @ w["state"].T)
-        grad["bias"] = d_in.sum(axis=(0, 1))
+            d_h += d_out[t]
+            d_c = d_in[t, 2 * n :]
+            np.multiply(d_h, to_c[t], out=d_c)
+            np.multiply(d_h, to_z[t], out=d_in[t, n : 2 * n])
+            np.multiply(d_c, to_r[t], out=d_in[t, :n])
+            d_u[t, : 2 * n] = d_in[t, : 2 * n]
+            np.multiply(d_c, r[t], out=d_u[t, 2 * n :])
+            d_h *= z[t]
+            d_h += w["state"] @ d_u[t]
+            d_h *= goes_on[t]
+        flat_in = d_in.transpose(0, 2, 1).reshape(-1, 3 * n)
+        grad["state"] = old.transpose(1, 0, 2).reshape(n, -1) @ d_u.transpose(0, 2, 1).reshape(-1, 3 * n)
+        grad["bias"] = flat_in.sum(axis=0)
         for name, g in grad.items():
             self._step(name, slice(None), np.clip(g, -1, 1), memory, rate)
         numbers = before.ravel()
-        order = np.argsort(numbers, kind="stable")
-        seen, first = np.unique(numbers[order], return_index=True)
-        self._step("input", seen, np.clip(np.add.reduceat(d_in.reshape(-1, 3 * n)[order], first, axis=0), -1, 1), memory, rate)
+        order = np.argsort(numbers.astype(np.int16) if len(w["input"]) <= 1 << 15 else numbers, kind="stable")
+        in_order = numbers[order]
+        first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+        self._step("input", in_order[first], np.clip(np.add.reduceat(flat_in[order], first, axis=0), -1, 1), memory, rate)
         return last
 
     def _step(self, name: str, at, g: np.ndarray, memory: dict, rate: float) -> None:
@@ -164,45 +178,45 @@ def lanes_of(docs: list[np.ndarray], lanes: int) -> tuple[list[list[int]], list[
     return [dealt[k] for k in by], [sizes[k] for k in by]
 
 
-def _lane_streams(docs, lanes):
-    dealt, sizes = lanes_of(docs, lanes)
-    for lane in dealt:
-        yield np.concatenate([docs[d] for d in lane]), np.repeat(np.array(lane), [len(docs[d]) for d in lane])
-
-
 def windows(docs: list[np.ndarray], lanes: int, window: int):
     """(before, target, owner, live) of each window: T x B arrays; lanes that have ended are left out.
 
-    Every document ends with END, so what follows it in its lane starts anew.
+    What follows a document in its lane starts anew, behind an END.
     """
-    streams = list(_lane_streams(docs, lanes))
-    width = max((len(s) for s, _ in streams), default=0)
-    target = np.zeros((width, len(streams)), np.int32)
-    owner = np.full((width, len(streams)), -1, np.int32)
-    for k, (words, own) in enumerate(streams):
-        target[: len(words), k], owner[: len(words), k] = words, own
-    before = np.vstack([np.full((1, len(streams)), END, np.int32), target[:-1]]) if width else target
-    sizes = np.array([len(s) for s, _ in streams])
-    for start in range(0, width, window):
+    dealt, sizes = lanes_of(docs, lanes)
+    order = [d for lane in dealt for d in lane]
+    if not order:
+        return
+    stream = np.concatenate([docs[d] for d in order])
+    owner = np.repeat(np.array(order, np.int64), [len(docs[d]) for d in order])
+    before = np.r_[np.int32(END), stream[:-1]]
+    before[np.cumsum([0] + [len(docs[d]) for d in order[:-1]])] = END
+    sizes = np.array(sizes, np.int64)
+    begin = np.cumsum(sizes) - sizes
+    for start in range(0, int(sizes.max(initial=0)), window):
         open_ = int((sizes > start).sum())
-        cut = slice(start, start + window), slice(0, open_)
-        yield before[cut], target[cut], owner[cut], owner[cut] >= 0
+        steps = np.arange(start, min(start + window, int(sizes[0])))[:, None]
+        live = steps < sizes[None, :open_]
+        at = np.where(live, begin[None, :open_] + steps, 0)
+        yield np.where(live, before[at], END), np.where(live, stream[at], END), owner[at], live
 
 
-def score_documents(model: GatedLM, docs: list[np.ndarray], lanes: int = 256, window: int = 64) -> np.ndarray:
+def score_documents(model: GatedLM, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
     """Natural-log probability of each document (numbers, the last one END). State is carried from window to window."""
     out = np.zeros(len(docs))
     h = np.zeros((min(lanes, len(docs)), model.hidden), np.float32)
     for before, target, owner, live in windows(docs, lanes, window):
         states = model.states(before, h[: before.shape[1]])
         h = states[-1]
-        rows = live.ravel()
+        rows = np.flatnonzero(live.ravel())
         got = model.log_probabilities(states.reshape(-1, model.hidden)[rows], target.ravel()[rows])
         out += np.bincount(owner.ravel()[rows], got, minlength=len(docs))
     return out
 
 
-def train_documents(model: GatedLM, docs: list[np.ndarray], memory: dict, lanes: int = 32, window: int = 32, rate: float = 0.05) -> None:
+def train_documents(model: GatedLM, docs: list[np.ndarray], memory: dict, lanes: int = 256, window: int = 32, rate: float = 0.1, section: int = 1024) -> None:
+    """Learns every word of docs once. Long documents are learned in sections that each start from the zero state, so that lanes end together."""
+    docs = [d[at : at + section] for d in docs for at in range(0, len(d), section)]
     h = np.zeros((min(lanes, len(docs)), model.hidden), np.float32)
     for before, target, _, live in windows(docs, lanes, window):
         h = model.learn(before, target, live, h[: before.shape[1]], memory, rate)

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,20 +22,6 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        return RARE
-
-
-class _Places(dict):
-    def __init__(self, places: dict[bytes, int], absent: int):
-        super().__init__(places)
-        self.absent = absent
-
-    def __missing__(self, word):
-        return self.absent
-
-
 def word_counts(docs: DataFrame, most_held: int = 300_000) -> DataFrame:
     """(word, n) over all texts of the column text. Tasks count before they shuffle, at most most_held words at once."""
 
@@ -74,70 +61,82 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in counts.filter(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def trained_model(train: DataFrame, top: list[tuple[bytes, int]], counts: np.ndarray, rounds: int, trainers: int, block_words: int, width: int, hidden: int, rate: float) -> bytes:
-    """Weights after `rounds` of training, each over its own part of the rows, averaged over tasks by words seen.
-
-    The parts are made by key hash and hold every row of train once.
+def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int, block_words: int, width: int, hidden: int, rate: float) -> bytes:
+    """Weights after `rounds` of training over rows (shard, nth, numbers as bytes), each round over its own part of the rows.
 
-    A task trains a copy of the weights on its rows, block by block, with truncated backpropagation. Averages are
-    summed in 16 groups first and those then, so the driver gets one row, whatever the number of tasks.
+    In each round every shard trains a copy of the weights, block by block, with truncated backpropagation; copies are
+    averaged by words seen. A row's shard, round and place come from its key and words alone, and averages are summed
+    in a fixed order, so the weights are the same for any partitioning. Sums are made in groups of about the root of
+    the number of shards first and those then; the driver gets one row.
     """
-    spark = train.sparkSession
+    spark, group = train.sparkSession, max(1, math.isqrt(shards))
     weights = GatedLM(counts, width, hidden).packed()
-    number = spark.sparkContext.broadcast({w: k + 2 for k, (w, _) in enumerate(top)})
-    nth = F.pmod(F.xxhash64(F.lit("train"), "ident"), F.lit(rounds))
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
         def make(shared=shared):
             def run(batches):
-                model, memory, docs, held, seen = GatedLM(counts, width, hidden).load(shared.value), {}, [], 0, 0
-                get = _Numbers(number.value).__getitem__
+                model = memory = own = None
+                docs, held, seen = [], 0, 0
 
                 def learn():
                     train_documents(model, docs, memory, rate=rate)
                     docs.clear()
 
                 for batch in batches:
-                    for text in batch.column(0):
-                        words = words_of(text.as_py())
-                        docs.append(np.fromiter([*map(get, words), END], np.int32, len(words) + 1))
-                        held, seen = held + len(words) + 1, seen + len(words) + 1
+                    for shard, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                        if shard != own:
+                            if own is not None:
+                                learn()
+                                yield [own // group], [own], [model.packed()], [seen]
+                            model, memory, own, held, seen = GatedLM(counts, width, hidden).load(shared.value), {}, shard, 0, 0
+                        docs.append(np.frombuffer(numbers.as_py(), "<u2").astype(np.int32))
+                        held, seen = held + len(docs[-1]), seen + len(docs[-1])
                         if held >= block_words:
                             learn()
                             held = 0
-                if docs:
+                if own is not None:
                     learn()
-                if seen:
-                    yield [uuid.uuid4().int % 16], [model.packed()], [seen]
+                    yield [own // group], [own], [model.packed()], [seen]
 
             return run
 
         def group_sum(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("shard")
             summed = sum(np.frombuffer(w, "<f4").astype(np.float64) * n for w, n in zip(pdf.weights, pdf.seen, strict=True))
-            return pd.DataFrame({"weights": [summed.tobytes()], "seen": [int(pdf.seen.sum())]})
+            return pd.DataFrame({"nth": [int(pdf.nth.iloc[0])], "weights": [summed.tobytes()], "seen": [int(pdf.seen.sum())]})
 
         def whole_sum(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("nth")
             return pd.DataFrame({"weights": [sum(np.frombuffer(w, "<f8") for w in pdf.weights).tobytes()], "seen": [int(pdf.seen.sum())]})
 
-        part = train.filter(nth == k).select("text").coalesce(trainers)
-        sums = arrow_map(part, make, "slot int, weights binary, seen long").groupBy("slot").applyInPandas(group_sum, "weights binary, seen long")
+        part = train.filter(F.pmod(F.xxhash64(F.lit("round"), "nth"), F.lit(rounds)) == k).repartitionById(shards, "shard").sortWithinPartitions("shard", "nth", "numbers").select("shard", "numbers")
+        sums = arrow_map(part, make, "nth int, shard int, weights binary, seen long").groupBy("nth").applyInPandas(group_sum, "nth int, weights binary, seen long")
         sums = sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(whole_sum, "weights binary, seen long").collect()
         if sums:
             weights = (np.frombuffer(sums[0].weights, "<f8") / sums[0].seen).astype("<f4").tobytes()
     return weights
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = 2048, width: int = 64, hidden: int = 16, head_words: int = 100_000, rounds: int = 2, trainers: int = 4096, block_words: int = 1 << 18, rate: float = 0.1) -> DataFrame:
+def model_size(tokens: int, largest: int = 1 << 15) -> tuple[int, int]:
+    """(vocabulary, class width) for a corpus: about the root of its tokens, a power of two between 64 and `largest`, in classes of about the root of that."""
+    vocabulary = 1 << min(largest.bit_length() - 1, max(6, int(tokens**0.5).bit_length() - 1))
+    return vocabulary, 1 << (vocabulary.bit_length() // 2)
+
+
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int | None = None, hidden: int = 16, head_words: int = 100_000, rounds: int = 2, shard_root: int = 400, block_words: int = 1 << 20, rate: float = 0.1) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Tokens are words and one end. Training rows are those whose crc32 of the key, as text, modulo folds is not
-    held_fold; word counts and the training of the recurrent weights cover all of them. The model's vocabulary is the end, the vocabulary - 2 most
-    frequent words and one number for all other words, whose probability is shared out by smoothed counts:
-    (c + 1) / (N_other + V_other + 1). Counts of the most frequent words, at most head_words, are broadcast; other words meet
-    their counts in a join, summed per row beforehand. Whole texts are scored, state carried on to their end.
-    Null and empty texts have one token, the end. Without training rows all counts are zero. A null key counts as the
-    empty text in the fold. Repeated rows score alike; no rows in, no rows out; other columns are left out.
+    held_fold; word counts and the training of the recurrent weights cover all of them, every row once. Vocabulary and
+    shards grow with the root of the training tokens (model_size(); one shard per shard_root of it), so does what a
+    shard learns from. The vocabulary is the end, the most frequent words and one number for all other words, whose
+    probability is shared out by smoothed counts: (c + 1) / (N_other + V_other + 1). Counts of the most frequent words,
+    at most head_words, are broadcast; other words meet their counts in a join, summed per row beforehand. Whole texts
+    are scored, state carried on to their end. Texts become numbers once, two bytes a word.
+    Scores are the same for any partitioning, but for rounding. Null and empty texts have one token, the end. Without
+    training rows all counts are zero. A null key counts as the empty text in the fold. Repeated rows score alike; no
+    rows in, no rows out; other columns are left out.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("ident"), (crc_mod(key, folds) == held_fold).alias("held_out"), F.col(text).alias("text"))
@@ -146,59 +145,75 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     whole = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = train.count()
     n_all, v_all = whole.n + ends, whole.v + (ends > 0)
+    size, width = model_size(n_all, vocabulary or 1 << 15)
+    shards = max(1, -(-math.isqrt(n_all) // shard_root))
     ranked = frequent_words(counts, head_words)
     head = dict(ranked)
-    top = ranked[: vocabulary - 2]
+    top = ranked[: size - 2]
     other_n, other_v = whole.n - sum(n for _, n in top), whole.v - len(top)
     numbers = np.array([ends, other_n, *(n for _, n in top)], np.float64)
-    weights = trained_model(train, top, numbers, rounds, trainers, block_words, width, hidden, rate)
-    shared = spark.sparkContext.broadcast((head, weights))
+    common = spark.sparkContext.broadcast(head)
     end_log, known_words = math.log10(ends + 1), len(top)
 
-    def make():
-        head, packed = shared.value
-        model = GatedLM(numbers, width, hidden).load(packed)
+    def number():
+        head = common.value
         place = {w: k for k, w in enumerate(head)}  # by falling count, so the model's words come first
         absent = len(place)
         log_of = np.array([*(math.log10(n + 1) for n in head.values()), 0.0])
-        number = np.full(absent + 1, RARE, np.int32)
+        number = np.full(absent + 1, RARE, np.uint16)
         number[:known_words] = np.arange(known_words) + 2
-        get = _Places(place, absent).__getitem__
 
         def run(batches):
-            out, docs_, held = [], [], 0
-
-            def block():
-                scores = score_documents(model, docs_) / math.log(10)
-                columns = [list(c) for c in zip(*out, strict=True)]
-                out.clear()
-                docs_.clear()
-                return *columns, scores
-
             for batch in batches:
+                out = []
                 for ident, held_out, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     words = words_of(body.as_py())
-                    at = np.fromiter(map(get, words), np.int32, len(words))
-                    numbered = np.append(number[at], np.int32(END))
+                    at = np.fromiter(map(place.get, words, itertools.repeat(absent)), np.int32, len(words))
                     logs, outside = log_of[at], at >= known_words
                     tail = Counter(itertools.compress(words, (at == absent).tolist()))
                     known = len(words) - tail.total() + int(ends > 0)
-                    out.append((uuid.uuid4().int >> 65, ident, held_out, len(numbered), known, float(logs.sum()) + end_log, float(logs[outside].sum()), int(outside.sum()), list(tail), list(tail.values())))
-                    docs_.append(numbered)
-                    held += len(numbered)
-                    if held >= block_words:
-                        yield block()
-                        held = 0
-            if out:
+                    out.append((uuid.uuid4().int >> 65, ident, held_out, len(words) + 1, known, float(logs.sum()) + end_log, float(logs[outside].sum()), int(outside.sum()), list(tail), list(tail.values()), np.append(number[at], np.uint16(END)).astype("<u2").tobytes()))
+                if out:
+                    yield [list(c) for c in zip(*out, strict=True)]
+
+        return run
+
+    sums = "rid long, ident long, held_out boolean, n_tokens long, known long, logs double, logs_other double, n_other long"
+    numbered = written(arrow_map(rows, number, f"{sums}, words array<binary>, times array<long>, numbers binary"))
+    nth = F.xxhash64("ident", "numbers")
+    lessons = numbered.filter(~F.col("held_out")).select(F.pmod(F.xxhash64(F.lit("shard"), nth), F.lit(shards)).cast("int").alias("shard"), nth.alias("nth"), "numbers")
+    shared = spark.sparkContext.broadcast(trained_model(lessons, numbers, shards, rounds, block_words, width, hidden, rate))
+
+    def score():
+        model = GatedLM(numbers, width, hidden).load(shared.value)
+
+        def run(batches):
+            parts, docs_, held = [], [], 0
+
+            def block():
+                scores = score_documents(model, docs_) / math.log(10)
+                whole = pa.Table.from_batches(parts).combine_chunks()
+                parts.clear()
+                docs_.clear()
+                return *(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns), scores
+
+            for batch in batches:
+                parts.append(batch.drop_columns("numbers"))
+                for x in batch.column("numbers"):
+                    docs_.append(np.frombuffer(x.as_py(), "<u2").astype(np.int32))
+                    held += len(docs_[-1])
+                if held >= block_words:
+                    yield block()
+                    held = 0
+            if docs_:
                 yield block()
 
         return run
 
-    schema = "rid long, ident long, held_out boolean, n_tokens long, known long, logs double, logs_other double, n_other long, words array<binary>, times array<long>, model double"
-    scored = written(arrow_map(rows, make, schema))
-    tail = scored.filter(F.size("words") > 0).select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("seen"), F.col("x.times").alias("times"))
+    scored = arrow_map(numbered.drop("words", "times"), score, f"{sums}, model double")
+    tail = numbered.filter(F.size("words") > 0).select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("seen"), F.col("x.times").alias("times"))
     met = tail.join(counts, F.col("seen") == F.col("word")).groupBy(F.col("rid").alias("met")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    both = scored.drop("words", "times").join(met, F.col("rid") == F.col("met"), "left").withColumns({"more": F.coalesce("more", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
+    both = scored.join(met, F.col("rid") == F.col("met"), "left").withColumns({"more": F.coalesce("more", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
     return both.select(
         F.col("ident").alias(key),
         "held_out",

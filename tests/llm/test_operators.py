@@ -206,7 +206,7 @@ def test_model_state_is_carried_across_windows():
 
 def test_lm_scores(spark):
     texts = sentences(80, 9) + [t and t.replace("|", "") for t in ODD] + ["rare" + str(k) for k in range(10)]
-    got = {r.doc_id: r for r in lm_score.lm_scores(documents(spark, texts), vocabulary=40, head_words=60, block_words=300).collect()}
+    got = {r.doc_id: r for r in lm_score.lm_scores(documents(spark, texts), vocabulary=64, head_words=60, block_words=300, shard_root=10).collect()}
     counts, tokens = {}, [lm_score.words_of(t) + [None] for t in texts]
     held = [zlib.crc32(str(k).encode()) % 7 == 2 for k in range(len(texts))]
     for t, h in zip(tokens, held):
@@ -225,16 +225,34 @@ def test_every_training_row_reaches_the_recurrent_weights(spark, monkeypatch):
     texts = [f"own{k} " * 100 for k in range(40)]  # the input weights of a word move only where its row is learned from
     seen, trained = [], lm_score.trained_model
 
-    def kept(train, top, counts, *more):
-        seen.append((top, counts, trained(train, top, counts, *more)))
-        return seen[-1][2]
+    def kept(train, counts, *more):
+        seen.append((counts, more, trained(train, counts, *more)))
+        return seen[-1][-1]
 
     monkeypatch.setattr(lm_score, "trained_model", kept)
-    lm_score.lm_scores(documents(spark, texts).coalesce(1))
-    (top, counts, packed), = seen
-    before, after = (m.weights["input"] for m in (gated_lm.GatedLM(counts), gated_lm.GatedLM(counts).load(packed)))
-    moved = {w.decode() for k, (w, _) in enumerate(top) if (before[k + 2] != after[k + 2]).any()}
-    assert moved == {f"own{k}" for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2}
+    lm_score.lm_scores(documents(spark, texts).coalesce(1), shard_root=20).collect()
+    (counts, (shards, _, _, width, hidden, _), packed), = seen
+    assert shards > 1
+    before, after = (m.weights["input"] for m in (gated_lm.GatedLM(counts, width, hidden), gated_lm.GatedLM(counts, width, hidden).load(packed)))
+    own = sorted(f"own{k}" for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2)  # equally frequent: numbered by name
+    assert len(counts) == 2 + len(own) and all((before[k + 2] != after[k + 2]).any() for k in range(len(own)))
+
+
+def test_lm_scores_are_the_same_for_any_partitioning_and_beat_the_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string"))
+    few, many = (lm_score.lm_scores(docs.repartition(n), shard_root=100).collect() for n in (4, 11))
+
+    def ordered(rows):
+        return sorted(rows, key=lambda r: (str(r.doc_id), r.n_tokens, r.base_score, r.score))
+
+    for a, b in zip(ordered(few), ordered(many), strict=True):
+        assert a[:5] == b[:5] and (a.base_score, a.score) == pytest.approx((b.base_score, b.score), rel=1e-5)
+    held = [r for r in few if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.08
+    none = lm_score.lm_scores(spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")).collect()  # 1 is held out
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in none] == [(True, 3, 0, 0)] * 2
 
 
 def test_license_matches_equal_every_window(spark):
