@@ -7,6 +7,13 @@ import numpy as np
 END, RARE = 0, 1
 
 
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """Rows with a 1 behind them, which biases are multiplied by."""
+    out = np.ones((len(states), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = states
+    return out
+
+
 def _exp_sums(x: np.ndarray) -> np.ndarray:
     """Row sums of exp(x). x becomes exp(x); logits count as 80 at most, which keeps every sum finite."""
     np.minimum(x, 80, out=x)
@@ -15,29 +22,27 @@ def _exp_sums(x: np.ndarray) -> np.ndarray:
 
 
 class GatedLM:
-    """Predicts word numbers below classes * width from those before: number n is in class n // width.
+    """Predicts numbers below len(counts) from those before, by their class and then within it.
 
-    known: numbers in use; the others have probability zero. counts: how often each was seen, for the first biases.
+    counts: how often each number was seen, most frequent first for short classes of frequent ones: classes have about
+    equal shares of the roots of the counts. The first biases are the logs of the counts' shares.
     """
 
-    def __init__(self, counts: np.ndarray, width: int = 64, hidden: int = 16, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.width, self.hidden, known = width, hidden, len(counts)
-        classes = -(-known // width)
-        padded = np.zeros(classes * width)
-        padded[:known] = counts + 1.0
-        padded = padded.reshape(classes, width)
-        with np.errstate(divide="ignore"):
-            within = np.maximum(np.log(padded / padded.sum(axis=1, keepdims=True)), -1e9)
+    def __init__(self, counts: np.ndarray, hidden: int = 16, classes: int | None = None, seed: int = 0):
+        rng, known = np.random.default_rng(seed), len(counts)
+        self.hidden, counts = hidden, np.asarray(counts, np.float64) + 1
+        share = np.cumsum(np.sqrt(counts))
+        cut = (share / share[-1] * (classes or max(1, int(known**0.5) // 2)) * (1 - 1e-9)).astype(np.int64)
+        self.first = np.r_[np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]]), known]
+        self.group = np.repeat(np.arange(len(self.first) - 1, dtype=np.int16), np.diff(self.first))
+        mass = np.add.reduceat(counts, self.first[:-1])
         f = np.float32
         self.weights = {
-            "input": rng.normal(0, 0.1, (classes * width, 3 * hidden)).astype(f),
+            "input": rng.normal(0, 0.1, (known, 3 * hidden)).astype(f),
             "state": rng.normal(0, hidden**-0.5, (hidden, 3 * hidden)).astype(f),
             "bias": np.zeros(3 * hidden, f),
-            "class": np.zeros((hidden, classes), f),
-            "class_bias": np.log(padded.sum(axis=1) / padded.sum()).astype(f),
-            "word": np.zeros((classes, hidden, width), f),
-            "word_bias": within.astype(f),
+            "class": np.vstack([np.zeros((hidden, len(mass))), np.log(mass / mass.sum())]).astype(f),  # the last row and column are biases
+            "word": np.hstack([np.zeros((known, hidden)), np.log(counts / mass[self.group])[:, None]]).astype(f),
         }
 
     def packed(self) -> bytes:
@@ -83,25 +88,24 @@ class GatedLM:
         return np.ascontiguousarray(out.transpose(0, 2, 1))
 
     def _by_class(self, group: np.ndarray):
-        """(class, its rows) for the classes of rows, in order."""
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(len(self.weights["word"]) + 1))
+        """(numbers of a class, its rows) for the classes of rows, in order."""
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(len(self.first)))
         for c in np.flatnonzero(np.diff(edges)):
-            yield c, order[edges[c] : edges[c + 1]]
+            yield slice(self.first[c], self.first[c + 1]), order[edges[c] : edges[c + 1]]
 
     def log_probabilities(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of target numbers, one per row of states."""
-        w, group = self.weights, target // self.width
+        w, group, states = self.weights, self.group[target], _with_one(states)
         x = states @ w["class"]
-        x += w["class_bias"]
-        picked = x[np.arange(len(x)), group].astype(np.float64)
-        out = np.minimum(picked, 80) - np.log(_exp_sums(x))
-        for c, rows in self._by_class(group):
-            x = states[rows] @ w["word"][c]
-            x += w["word_bias"][c]
-            picked = x[np.arange(len(x)), target[rows] % self.width].astype(np.float64)
-            out[rows] += np.minimum(picked, 80) - np.log(_exp_sums(x))
-        return out
+        out = np.minimum(x[np.arange(len(x)), group].astype(np.float64), 80)
+        sums = _exp_sums(x)
+        for own, rows in self._by_class(group):
+            if own.stop - own.start > 1:  # a class of one number needs no choice
+                x = states[rows] @ w["word"][own].T
+                out[rows] += np.minimum(x[np.arange(len(x)), target[rows] - own.start], 80)
+                sums[rows] *= _exp_sums(x)
+        return out - np.log(sums)
 
     def learn(self, before: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray, memory: dict, rate: float) -> np.ndarray:
         """One window of truncated backpropagation with Adagrad steps; returns the state to go on from."""
@@ -109,23 +113,22 @@ class GatedLM:
         states = self.states(before, h, kept)
         last = states[-1].copy()
         rows = np.flatnonzero(live.ravel())
-        flat, goal = states.reshape(-1, n)[rows], target.ravel()[rows]
-        group, scale = goal // self.width, np.float32(1 / max(1, len(rows)))
-        grad = {"word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
+        flat, goal = _with_one(states.reshape(-1, n)[rows]), target.ravel()[rows]
+        group, scale = self.group[goal], np.float32(1 / max(1, len(rows)))
+        grad = {}
         x = flat @ w["class"]
-        x += w["class_bias"]
         x *= (scale / _exp_sums(x))[:, None]
         x[np.arange(len(goal)), group] -= scale
-        grad["class"], grad["class_bias"] = flat.T @ x, x.sum(axis=0)
-        up = x @ w["class"].T
-        for c, mine in self._by_class(group):
-            own = flat[mine]
-            x = own @ w["word"][c]
-            x += w["word_bias"][c]
-            x *= (scale / _exp_sums(x))[:, None]
-            x[np.arange(len(mine)), goal[mine] % self.width] -= scale
-            grad["word"][c], grad["word_bias"][c] = own.T @ x, x.sum(axis=0)
-            up[mine] += x @ w["word"][c].T
+        grad["class"] = flat.T @ x
+        up = x @ w["class"][:n].T
+        for own, mine in self._by_class(group):
+            if own.stop - own.start > 1:
+                h_mine, v = flat[mine], w["word"][own]
+                x = h_mine @ v.T
+                x *= (scale / _exp_sums(x))[:, None]
+                x[np.arange(len(mine)), goal[mine] - own.start] -= scale
+                up[mine] += x @ v[:, :n]
+                self._step("word", own, x.T @ h_mine, memory, rate)
         d_out = np.zeros((before.size, n), states.dtype)
         d_out[rows] = up
         d_out = np.ascontiguousarray(d_out.reshape(*before.shape, n).transpose(0, 2, 1))
@@ -151,7 +154,7 @@ class GatedLM:
         for name, g in grad.items():
             self._step(name, slice(None), np.clip(g, -1, 1), memory, rate)
         numbers = before.ravel()
-        order = np.argsort(numbers.astype(np.int16) if len(w["input"]) <= 1 << 15 else numbers, kind="stable")
+        order = np.argsort(numbers.astype(np.uint16), kind="stable")
         in_order = numbers[order]
         first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
         self._step("input", in_order[first], np.clip(np.add.reduceat(flat_in[order], first, axis=0), -1, 1), memory, rate)
@@ -214,7 +217,7 @@ def score_documents(model: GatedLM, docs: list[np.ndarray], lanes: int = 512, wi
     return out
 
 
-def train_documents(model: GatedLM, docs: list[np.ndarray], memory: dict, lanes: int = 256, window: int = 32, rate: float = 0.1, section: int = 1024) -> None:
+def train_documents(model: GatedLM, docs: list[np.ndarray], memory: dict, lanes: int = 512, window: int = 32, rate: float = 0.1, section: int = 1024) -> None:
     """Learns every word of docs once. Long documents are learned in sections that each start from the zero state, so that lanes end together."""
     docs = [d[at : at + section] for d in docs for at in range(0, len(d), section)]
     h = np.zeros((min(lanes, len(docs)), model.hidden), np.float32)

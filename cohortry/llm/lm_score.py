@@ -61,7 +61,7 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r.word), r.n) for r in counts.filter(F.col("n") >= cut).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int, block_words: int, width: int, hidden: int, rate: float) -> bytes:
+def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int, block_words: int, hidden: int, rate: float) -> bytes:
     """Weights after `rounds` of training over rows (shard, nth, numbers as bytes), each round over its own part of the rows.
 
     In each round every shard trains a copy of the weights, block by block, with truncated backpropagation; copies are
@@ -70,7 +70,7 @@ def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int
     the number of shards first and those then; the driver gets one row.
     """
     spark, group = train.sparkSession, max(1, math.isqrt(shards))
-    weights = GatedLM(counts, width, hidden).packed()
+    weights = GatedLM(counts, hidden).packed()
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(weights)
 
@@ -89,7 +89,7 @@ def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int
                             if own is not None:
                                 learn()
                                 yield [own // group], [own], [model.packed()], [seen]
-                            model, memory, own, held, seen = GatedLM(counts, width, hidden).load(shared.value), {}, shard, 0, 0
+                            model, memory, own, held, seen = GatedLM(counts, hidden).load(shared.value), {}, shard, 0, 0
                         docs.append(np.frombuffer(numbers.as_py(), "<u2").astype(np.int32))
                         held, seen = held + len(docs[-1]), seen + len(docs[-1])
                         if held >= block_words:
@@ -118,21 +118,20 @@ def trained_model(train: DataFrame, counts: np.ndarray, shards: int, rounds: int
     return weights
 
 
-def model_size(tokens: int, largest: int = 1 << 15) -> tuple[int, int]:
-    """(vocabulary, class width) for a corpus: about the root of its tokens, a power of two between 64 and `largest`, in classes of about the root of that."""
-    vocabulary = 1 << min(largest.bit_length() - 1, max(6, int(tokens**0.5).bit_length() - 1))
-    return vocabulary, 1 << (vocabulary.bit_length() // 2)
+def model_size(tokens: int, largest: int = 1 << 15) -> int:
+    """The vocabulary for a corpus: a power of two about half the root of its tokens, between 64 and `largest`."""
+    return 1 << min(largest.bit_length() - 1, max(6, math.isqrt(tokens).bit_length() - 2))
 
 
-def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int | None = None, hidden: int = 16, head_words: int = 100_000, rounds: int = 2, shard_root: int = 400, block_words: int = 1 << 20, rate: float = 0.1) -> DataFrame:
+def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, held_fold: int = 2, vocabulary: int = 1 << 15, hidden: int = 16, head_words: int = 200_000, rounds: int = 2, shard_root: int = 400, block_words: int = 1 << 20, rate: float = 0.1) -> DataFrame:
     """One row per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Tokens are words and one end. Training rows are those whose crc32 of the key, as text, modulo folds is not
     held_fold; word counts and the training of the recurrent weights cover all of them, every row once. Vocabulary and
-    shards grow with the root of the training tokens (model_size(); one shard per shard_root of it), so does what a
-    shard learns from. The vocabulary is the end, the most frequent words and one number for all other words, whose
+    shards grow with the root of the training tokens (model_size(), at most `vocabulary`; one shard per shard_root of
+    it), so does what a shard learns from. The vocabulary is the end, the most frequent words and one number for all other words, whose
     probability is shared out by smoothed counts: (c + 1) / (N_other + V_other + 1). Counts of the most frequent words,
-    at most head_words, are broadcast; other words meet their counts in a join, summed per row beforehand. Whole texts
+    at most head_words, are broadcast; other words meet their counts in a join. Whole texts
     are scored, state carried on to their end. Texts become numbers once, two bytes a word.
     Scores are the same for any partitioning, but for rounding. Null and empty texts have one token, the end. Without
     training rows all counts are zero. A null key counts as the empty text in the fold. Repeated rows score alike; no
@@ -145,7 +144,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     whole = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = train.count()
     n_all, v_all = whole.n + ends, whole.v + (ends > 0)
-    size, width = model_size(n_all, vocabulary or 1 << 15)
+    size = model_size(n_all, vocabulary)
     shards = max(1, -(-math.isqrt(n_all) // shard_root))
     ranked = frequent_words(counts, head_words)
     head = dict(ranked)
@@ -157,35 +156,60 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
 
     def number():
         head = common.value
-        place = {w: k for k, w in enumerate(head)}  # by falling count, so the model's words come first
-        absent = len(place)
+        place = {w: k for k, w in enumerate(head)}.get  # by falling count, so the model's words come first
+        absent = len(head)
         log_of = np.array([*(math.log10(n + 1) for n in head.values()), 0.0])
-        number = np.full(absent + 1, RARE, np.uint16)
+        outside_of = np.where(np.arange(absent + 1) < known_words, 0.0, log_of)
+        number = np.full(absent + 1, RARE, "<u2")
         number[:known_words] = np.arange(known_words) + 2
 
+        def sums(values, begin):
+            return np.diff(np.r_[0, np.cumsum(values)][np.r_[begin, len(values)]])
+
+        def numbered_rows(part, words, size):
+            n, begin, size = len(size), np.cumsum([0, *size[:-1]]), np.array(size)
+            at = np.fromiter(map(place, words, itertools.repeat(absent)), np.int32, len(words))
+            far = at == absent
+            tail = pa.array(list(itertools.compress(words, far.tolist())), pa.binary())
+            n_far = sums(far.astype(np.int64), begin)
+            ends_at = begin + size + np.arange(n)
+            own = np.full(len(words) + n, END, "<u2")
+            own[np.delete(np.arange(len(own)), ends_at)] = number[at]
+            cuts = list(zip(begin.tolist(), (begin + size).tolist(), strict=True))
+            return (
+                [uuid.uuid4().int >> 65 for _ in range(n)],
+                part.column(0),
+                part.column(1),
+                size + 1,
+                size - n_far + int(ends > 0),
+                [float(log_of[at[a:b]].sum()) + end_log for a, b in cuts],
+                [float(outside_of[at[a:b]].sum()) for a, b in cuts],
+                sums((at >= known_words).astype(np.int64), begin),
+                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n_far)], pa.int32()), tail),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.r_[0, ends_at + 1] * 2).astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())]),
+            )
+
         def run(batches):
             for batch in batches:
-                out = []
-                for ident, held_out, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    words = words_of(body.as_py())
-                    at = np.fromiter(map(place.get, words, itertools.repeat(absent)), np.int32, len(words))
-                    logs, outside = log_of[at], at >= known_words
-                    tail = Counter(itertools.compress(words, (at == absent).tolist()))
-                    known = len(words) - tail.total() + int(ends > 0)
-                    out.append((uuid.uuid4().int >> 65, ident, held_out, len(words) + 1, known, float(logs.sum()) + end_log, float(logs[outside].sum()), int(outside.sum()), list(tail), list(tail.values()), np.append(number[at], np.uint16(END)).astype("<u2").tobytes()))
-                if out:
-                    yield [list(c) for c in zip(*out, strict=True)]
+                words, size, begin = [], [], 0
+                for k, body in enumerate(batch.column(2)):
+                    own = words_of(body.as_py())
+                    words += own
+                    size.append(len(own))
+                    if len(words) >= 200_000 or k + 1 == batch.num_rows:
+                        yield numbered_rows(batch.slice(begin, len(size)), words, size)
+                        words, size, begin = [], [], k + 1
 
         return run
 
-    sums = "rid long, ident long, held_out boolean, n_tokens long, known long, logs double, logs_other double, n_other long"
-    numbered = written(arrow_map(rows, number, f"{sums}, words array<binary>, times array<long>, numbers binary"))
+    columns = "rid long, ident long, held_out boolean, n_tokens long, known long, logs double, logs_other double, n_other long"
+    numbered = written(arrow_map(rows, number, f"{columns}, words array<binary>, numbers binary"))
     nth = F.xxhash64("ident", "numbers")
     lessons = numbered.filter(~F.col("held_out")).select(F.pmod(F.xxhash64(F.lit("shard"), nth), F.lit(shards)).cast("int").alias("shard"), nth.alias("nth"), "numbers")
-    shared = spark.sparkContext.broadcast(trained_model(lessons, numbers, shards, rounds, block_words, width, hidden, rate))
+    shared = spark.sparkContext.broadcast(trained_model(lessons, numbers, shards, rounds, block_words, hidden, rate))
 
     def score():
-        model = GatedLM(numbers, width, hidden).load(shared.value)
+        model = GatedLM(numbers, hidden).load(shared.value)
 
         def run(batches):
             parts, docs_, held = [], [], 0
@@ -210,9 +234,9 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: i
 
         return run
 
-    scored = arrow_map(numbered.drop("words", "times"), score, f"{sums}, model double")
-    tail = numbered.filter(F.size("words") > 0).select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("seen"), F.col("x.times").alias("times"))
-    met = tail.join(counts, F.col("seen") == F.col("word")).groupBy(F.col("rid").alias("met")).agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
+    scored = arrow_map(numbered.drop("words"), score, f"{columns}, model double")
+    tail = numbered.filter(F.size("words") > 0).select("rid", F.explode("words").alias("seen"))
+    met = tail.join(counts, F.col("seen") == F.col("word")).groupBy(F.col("rid").alias("met")).agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs"))
     both = scored.join(met, F.col("rid") == F.col("met"), "left").withColumns({"more": F.coalesce("more", F.lit(0)), "more_logs": F.coalesce("more_logs", F.lit(0.0))})
     return both.select(
         F.col("ident").alias(key),
