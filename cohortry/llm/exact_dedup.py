@@ -9,6 +9,7 @@ the filter; only possible repeats travel, join the compacted index and are compa
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -128,46 +129,70 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 28, most_slices: int = 4096, hot_share: int = 256, salts: int = 64, digest: Callable[[Column], Column] = sha256, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: key, keep_id, group_size, kept, text_sha256 (hex of the digest), and the long columns carry.
+@dataclass(frozen=True)
+class Repeats:
+    """What tasks need to tell rows whose digest is alone: a Bloom filter over repeated digests, and the hot ones among these."""
 
-    Texts are equal when identical after each white-space run becomes one space; null counts as empty. The smallest
-    key of equal texts stays. A null key is above all others. Rows that repeat the smallest key are all kept.
-    The Bloom filter has 16 bits a repeated digest, at most filter_bits bits (32 MB) in most_slices slices, whatever the
-    size of docs and however many ranges the index has; when it fills up, more rows are joined and none is lost.
-    Digests that one in hot_share rows has, of which there can be hot_share, are dealt over salts when their texts are
-    compared. No rows in, no rows out; other columns of docs are left out.
+    bits: bytes
+    slices: int
+    slice_bits: int
+    hot: frozenset[bytes]
+    salts: int
+
+    def probe(self, digests: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Whether each digest may be repeated, and a salt for its row, which is 0 but for hot digests."""
+        flat, filled = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, DIGEST), np.frombuffer(self.bits, np.uint8)
+        at = (_ranges_of(flat, self.slices) * (-(-self.slice_bits // 8) * 8))[:, None] + _bits_of(flat, self.slice_bits)
+        return ((filled[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1), [k % self.salts if d in self.hot else 0 for k, d in enumerate(digests)]
+
+    def every_salt(self, digest: str) -> Column:
+        """All salts that rows of a digest have, as an array."""
+        none = F.array(F.lit(0))
+        return F.when(F.col(digest).isin(*map(bytearray, self.hot)), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(none) if self.hot else none
+
+
+def repeated_digests(digests: DataFrame, range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 28, most_slices: int = 4096, hot_share: int = 256, salts: int = 64) -> tuple[DataFrame, Repeats]:
+    """The compacted index of the repeated ones of (digest, ident): (digest, keep, n), written, with the smallest identifiers; and its filter.
+
+    The filter has 16 bits a repeated digest, at most filter_bits bits (32 MB) in most_slices slices, whatever the number
+    of digests and however many ranges the index has. Hot digests are those that one in hot_share rows has, so there
+    are hot_share at most.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("ident"), normalised(text).alias("body"), *carry).withColumn("digest", digest(F.col("body")))
-    digests = written(rows.select("digest", "ident"))
+    digests = written(digests)
     total = digests.count()
     ranges = 1 << max(0, int(np.ceil(np.log2(max(1, total / range_rows)))))
     level = written(compact(flush_runs(digests, ranges, memtable_rows)))
     entries = written(_entries(level))
-    repeated = entries.count()
-    slices = min(ranges, most_slices)
+    repeated, slices = entries.count(), min(ranges, most_slices)
     slice_bits = max(64, min(filter_bits, 1 << int(np.ceil(np.log2(16 * max(1, repeated))))) // slices)
     bits = bytearray(-(-slice_bits // 8) * slices)
     for bucket, part in ((r["slice"], r["filter"]) for r in filter_slices(level, slices, ranges, slice_bits).collect()):
         bits[bucket * len(part) : (bucket + 1) * len(part)] = part
-    hot = frozenset(bytes(r.digest) for r in entries.filter(F.col("n") * hot_share >= max(total, hot_share)).filter(F.col("n") > salts).select("digest").collect())
-    shared = spark.sparkContext.broadcast((bytes(bits), hot))
-    stride = -(-slice_bits // 8) * 8
+    hot = entries.filter(F.col("n") * hot_share >= max(total, hot_share)).filter(F.col("n") > salts).select("digest").collect()
+    return entries, Repeats(bytes(bits), slices, slice_bits, frozenset(bytes(r.digest) for r in hot), salts)
 
-    def probe():
-        filled, hot = np.frombuffer(shared.value[0], np.uint8), shared.value[1]
 
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", range_rows: int = 4096, memtable_rows: int = 200_000, filter_bits: int = 1 << 28, most_slices: int = 4096, hot_share: int = 256, salts: int = 64, digest: Callable[[Column], Column] = sha256, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: key, keep_id, group_size, kept, text_sha256 (hex of the digest), and the long columns carry.
+
+    Texts are equal when identical after each white-space run becomes one space; null counts as empty. The smallest
+    key of equal texts stays. A null key is above all others. Rows that repeat the smallest key are all kept.
+    Index and filter are those of repeated_digests(); when the filter fills up, more rows are joined and none is lost.
+    Rows of hot digests are dealt over salts when their texts are compared. No rows in, no rows out; other columns of
+    docs are left out.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).cast("long").alias("ident"), normalised(text).alias("body"), *carry).withColumn("digest", digest(F.col("body")))
+    entries, repeats = repeated_digests(rows.select("digest", "ident"), range_rows, memtable_rows, filter_bits, most_slices, hot_share, salts)
+    shared = spark.sparkContext.broadcast(repeats)
+
+    def probe():
         def run(batches):
             for batch in batches:
-                own = batch.column(1).to_pylist()
-                flat = np.frombuffer(b"".join(own), np.uint8).reshape(-1, DIGEST)
-                if not len(flat):
-                    continue
-                at = (_ranges_of(flat, slices) * stride)[:, None] + _bits_of(flat, slice_bits)
-                maybe = ((filled[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
-                body = pa.compute.if_else(pa.array(maybe), batch.column(2), pa.scalar(None, batch.column(2).type))
-                yield batch.column(0), batch.column(1), pa.array(maybe), body, [k % salts if d in hot else 0 for k, d in enumerate(own)], *batch.columns[3:]
+                if batch.num_rows:
+                    maybe, salt = shared.value.probe(batch.column(1).to_pylist())
+                    body = pa.compute.if_else(pa.array(maybe), batch.column(2), pa.scalar(None, batch.column(2).type))
+                    yield batch.column(0), batch.column(1), pa.array(maybe), body, salt, *batch.columns[3:]
 
         return run
 
@@ -177,8 +202,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", r
     maybe = probed.filter("maybe").select("ident", "digest", "body", "salt", *carry)
     keeper = maybe.join(entries.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.coalesce("ident", F.lit(int(NO_ID))) == F.col("keep")))
     keeper = keeper.groupBy("d").agg(F.min("ident").alias("keep"), F.max("n").alias("n"), F.max("body").alias("kept_body"))
-    every = F.when(F.col("d").isin(*map(bytearray, hot)), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
-    keeper = keeper.select(F.concat(F.lit(b""), "d").alias("d2"), "keep", "n", "kept_body", F.explode(every).alias("s2"))
+    keeper = keeper.select(F.concat(F.lit(b""), "d").alias("d2"), "keep", "n", "kept_body", F.explode(repeats.every_salt("d")).alias("s2"))
     hits = maybe.join(keeper, (F.col("digest") == F.col("d2")) & (F.col("salt") == F.col("s2")), "left")
     same = F.col("d2").isNull() | (F.col("body") == F.col("kept_body"))
     keep_id, size = F.when(F.col("d2").isNull(), F.col("ident")).otherwise(F.col("keep")), F.coalesce("n", F.lit(1)).cast("long")

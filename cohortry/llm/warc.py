@@ -16,10 +16,13 @@ import uuid
 import zipfile
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.llm.common import arrow_map, opened, shared_dir, table, written
+from cohortry.llm.exact_dedup import NO_ID, repeated_digests
 from cohortry.llm.zip_ranges import ZipRanges
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -92,28 +95,83 @@ class ArchiveWriter:
         return self.path
 
 
+class _Archives:
+    """The archives of one task: a new one is begun when the last has archive_bytes. Closed ones are told once, by (path, records)."""
+
+    def __init__(self, folder: str, archive_bytes: int, level: int):
+        self.folder, self.archive_bytes, self.level = folder, archive_bytes, level
+        self.open_, self.records, self.closed = None, 0, []
+
+    def add(self, *row) -> None:
+        self.open_ = self.open_ or ArchiveWriter(self.folder, self.level)
+        self.open_.add(*row)
+        self.records += 1
+        if self.open_.at >= self.archive_bytes:
+            self.close()
+
+    def close(self) -> None:
+        if self.open_:
+            self.closed.append((self.open_.close(), self.records))
+            self.open_, self.records = None, 0
+
+    def told(self) -> list[tuple[str, int]]:
+        told, self.closed = self.closed, []
+        return told
+
+
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = 64 << 20, level: int = 1) -> DataFrame:
     """Archives of (page_id, url, payload, refers_to, revisit) rows below folder; returns their manifest (path, records), written."""
 
     def make():
         def run(batches):
-            archive, n = None, 0
+            archives = _Archives(folder, archive_bytes, level)
             for batch in batches:
-                for row in zip(*(c for c in batch.columns), strict=True):
-                    archive = archive or ArchiveWriter(folder, level)
-                    archive.add(*(x.as_py() for x in row))
-                    n += 1
-                    if archive.at >= archive_bytes:
-                        yield [archive.close()], [n]
-                        archive, n = None, 0
-            if archive:
-                yield [archive.close()], [n]
+                for row in zip(*batch.columns, strict=True):
+                    archives.add(*(x.as_py() for x in row))
+                if told := archives.told():
+                    yield [list(c) for c in zip(*told, strict=True)]
+            archives.close()
+            if told := archives.told():
+                yield [list(c) for c in zip(*told, strict=True)]
 
         return run
 
     return written(arrow_map(rows.select("page_id", "url", "payload", "refers_to", "revisit"), make, "path string, records long"))
 
 
+def _write_lone(rows: DataFrame, folder: str, repeats, least_bytes: int, archive_bytes: int, level: int) -> DataFrame:
+    """Writes those of (page_id, url, payload, digest) whose payload is certain to be alone, or too small to be shared.
+
+    Returns, written, the manifest's rows (path, records) and the rows left over with their salts.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(repeats)
+
+    def make():
+        def run(batches):
+            archives = _Archives(folder, archive_bytes, level)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                maybe, salt = shared.value.probe(batch.column(3).to_pylist())
+                size = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+                maybe &= size >= least_bytes
+                for k in (~maybe).nonzero()[0].tolist():
+                    archives.add(*(batch.column(c)[k].as_py() for c in range(3)), None, False)
+                left, told = batch.filter(pa.array(maybe)), archives.told()
+                yield _lone_columns(told, left, [s for s, m in zip(salt, maybe, strict=True) if m])
+            archives.close()
+            yield _lone_columns(archives.told(), None, [])
+
+        return run
+
+    return written(arrow_map(rows.select("page_id", "url", "payload", "digest"), make, "path string, records long, page_id long, url string, payload binary, digest binary, salt int"))
+
+
+def _lone_columns(told, left, salt):
+    n = len(salt)
+    return [p for p, _ in told] + [None] * n, [r for _, r in told] + [None] * n, *([None] * len(told) + (left.column(c).to_pylist() if left else []) for c in range(4)), [None] * len(told) + salt
+
+
 def read_archives(manifest: DataFrame, window: int = 4 << 20) -> DataFrame:
     """The records of archives named by path: page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -165,27 +223,31 @@ def read_archives(manifest: DataFrame, window: int = 4 << 20) -> DataFrame:
     return arrow_map(manifest.select("path"), make, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def archived(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
+def archived(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, archive_bytes: int = 64 << 20, level: int = 1, filter_bits: int = 1 << 28) -> DataFrame:
     """Writes a record per row of pages and returns the manifest of the archives.
 
-    Of equal payloads of at least least_bytes bytes the row of the smallest key is a response and the others revisit
-    it; smaller payloads are all responses. A null payload is empty, a null key is above all others, and rows that
-    repeat the smallest key are all responses. Payloads travel once, to their digest; a payload that a third of the
-    rows share is split by adaptive execution, for only its digest and smallest key stand on the other side.
+    Of equal payloads (by SHA-256) of at least least_bytes bytes the row of the smallest key is a response and the others
+    revisit it; smaller payloads are all responses. A null payload is empty, a null key is above all others, and rows
+    that repeat the smallest key, or all rows where every key is null, are responses.
+    Rows are first hashed. Those whose digest a filter over the repeated ones rules out, which is all but a few of the
+    unrepeated, are written where they are read; only the others' payloads travel, to their digest, hot ones dealt over
+    salts.
     """
     body = F.coalesce(F.encode(F.col(payload), "utf-8"), F.lit(b""))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    shared = rows.filter(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = shared.select(F.concat_ws(":", "sha", "size").alias("same"), "first")
-    joined = rows.join(shared, F.concat_ws(":", F.col("sha"), F.col("size")) == F.col("same"), "left")
-    revisit = F.col("same").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), body.alias("payload")).withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    entries, repeats = repeated_digests(rows.filter(F.octet_length("payload") >= least_bytes).select("digest", F.col("page_id").alias("ident")), filter_bits=filter_bits)
+    folder = shared_dir(pages.sparkSession)
+    lone = _write_lone(rows, folder, repeats, least_bytes, archive_bytes, level)
+    left = lone.filter("path IS NULL").select("page_id", "url", "payload", "digest", "salt")
+    first = entries.select(F.col("digest").alias("d"), F.when(F.col("keep") < int(NO_ID), F.col("keep")).alias("first"), F.explode(repeats.every_salt("digest")).alias("s"))
+    joined = left.join(first, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = joined.select("page_id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    return write_archives(out, shared_dir(pages.sparkSession), archive_bytes)
+    return lone.filter("path IS NOT NULL").select("path", "records").unionByName(write_archives(out, folder, archive_bytes, level))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = archived(table(spark, sf_dir, "pages"))
+    manifest = written(archived(table(spark, sf_dir, "pages")))
     files = max(1, manifest.count())
     return read_archives(manifest.repartition(files, "path")).drop("payload", "url")
 

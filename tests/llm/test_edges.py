@@ -2,6 +2,7 @@
 
 import random
 import time
+import zipfile
 import zlib
 
 import numpy as np
@@ -9,7 +10,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, exact_dedup, packing, toxicity
+from cohortry.llm import decontaminate, exact_dedup, packing, toxicity, warc
+from cohortry.llm.zip_ranges import ZipRanges
 
 ALPHABET = [*"abcXYZ.,'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
 
@@ -100,3 +102,39 @@ def test_lexicon_takes_time_in_proportion_to_matches():
         assert lexicon.matches(line) == []
         seconds.append(time.perf_counter() - began)
     assert seconds[1] < 40 * seconds[0]
+
+
+@pytest.mark.parametrize("filter_bits", [64, 1 << 20])
+def test_warc_of_null_and_repeated_keys_over_many_ranges(spark, filter_bits):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(30)]), f"http://a/{k}", rng.choice([None, "", "é" * 50, "ab", "x" * 4000, f"own {k} " * rng.randint(1, 400)])) for k in range(120)] + [(None, "u", "null keys only")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = warc.read_archives(warc.archived(pages, archive_bytes=3000, filter_bits=filter_bits), window=500).collect()
+    low: dict = {}
+    for i, _, h in rows:
+        low.setdefault(h or "", []).append(i)
+    low = {h: min((i for i in ids if i is not None), default=None) for h, ids in low.items()}
+
+    def told(i, h):
+        body = (h or "").encode()
+        again = low[h or ""] is not None and i != low[h or ""]
+        return i, len(body), warc.sha1_base32(body), "revisit" if again else "response", low[h or ""] if again else None
+
+    assert sorted(map(str, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(str(told(i, h)) for i, _, h in rows)
+
+
+def test_zip64_end_records_are_read(tmp_path, monkeypatch):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 20)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("first", b"0123456789" * 5)
+        z.writestr("second", b"abc" * 20)
+    data = path.read_bytes()
+    assert b"PK\x06\x06" in data and b"PK\x06\x07" in data  # the ZIP64 end record and its locator
+    archive = ZipRanges(lambda a, n: data[a : a + n], len(data))
+    assert archive.read("first", 8, 4) == b"8901" and archive.read("second") == b"abc" * 20
+    full = bytearray(data)
+    end = data.rindex(b"PK\x05\x06")
+    full[end + 8 : end + 20] = b"\xff" * 12  # all fields of the end record say: look in the ZIP64 record
+    assert ZipRanges(lambda a, n: bytes(full[a : a + n]), len(full)).read("second", 1, 2) == b"bc"
