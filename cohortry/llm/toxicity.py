@@ -149,8 +149,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return max(a, 0.0), b
 
 
-def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 2, least_odds: float = 1.5, shortest: int = 3, longest: int = 7, most_candidates: int = 20_000, most_entries: int = 2_000, most_exceptions: int = 5_000) -> Lexicon:
-    """A lexicon from labelled rows (ident, text, toxic 0/1).
+def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000, least: int = 2, least_odds: float = 1.5, shortest: int = 3, longest: int = 7, most_candidates: int = 20_000, most_entries: int = 2_000, most_exceptions: int = 5_000) -> Lexicon:
+    """A lexicon from rows (ident, text) and their labels (known, toxic 0/1), one for each key.
 
     Fits on about most_rows rows (documented bound), half of either label or all that there are, by identifier hash;
     the final regression weighs them by how many they stand for. An entry needs `least` toxic rows and smoothed log
@@ -161,12 +161,15 @@ def learned_lexicon(rows: DataFrame, most_rows: int = 12_000, least: int = 2, le
     smoothed.
     """
     spark = rows.sparkSession
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    met = F.col("ident") == F.col("known")
+    sizes = {r.toxic: r["count"] for r in rows.select("ident").join(known, met).groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Lexicon(bias=float(np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5))))
     shares = {k: min(1.0, most_rows / 2 / n) for k, n in sizes.items()}
     share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
-    picked = written(rows.filter(F.abs(F.xxhash64("ident") % 1_000_003) / 1_000_003.0 < share).select(F.col("ident").cast("long"), "text", F.col("toxic").cast("int")))
+    # The keys picked are as few as the rows, so they are broadcast and only their texts are read on.
+    picks = known.filter(F.abs(F.xxhash64("known") % 1_000_003) / 1_000_003.0 < share)
+    picked = written(rows.join(F.broadcast(picks), met).select(F.col("ident").cast("long"), "text", F.col("toxic").cast("int")))
     sizes = {r.toxic: r["count"] for r in picked.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -271,9 +274,9 @@ def fitted_lexicon(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     A document with several labels is toxic if one says so, and null labels count for nothing.
     """
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
+    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("known")).agg(F.max(F.col(label).cast("int")).alias("toxic")).filter(crc_mod("known", 3) != 1)
     rows = docs.select(F.col(key).alias("ident"), F.col(text).alias("text")).filter(crc_mod("ident", 3) != 1)
-    return learned_lexicon(rows.join(known, F.col("ident") == F.col("known")).select("ident", "text", "toxic"), most_rows)
+    return learned_lexicon(rows, known, most_rows)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 12_000) -> DataFrame:
