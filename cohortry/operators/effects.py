@@ -49,10 +49,10 @@ def matched_controls(patients: DataFrame, controls: DataFrame, strict: list[str]
     return tiers
 
 
-def matched_z(values: DataFrame, matches: DataFrame) -> DataFrame:
-    """(x - mean of matched controls) / their standard deviation, 0 where undefined. values: id, at, value; matches: patient, control."""
-    base = matches.join(values.select(F.col("id").alias("control"), "at", "value"), "control").groupBy("patient", "at").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    own = values.select(F.col("id").alias("patient"), "at", "value")
+def matched_z(patients: DataFrame, controls: DataFrame, matches: DataFrame) -> DataFrame:
+    """(x - mean of matched controls) / their standard deviation, 0 where undefined. Both sides: id, at, value; matches: patient, control."""
+    base = matches.join(controls.select(F.col("id").alias("control"), "at", "value"), "control").groupBy("patient", "at").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    own = patients.select(F.col("id").alias("patient"), "at", "value")
     return own.join(base, ["patient", "at"]).select("patient", "at", F.coalesce(F.try_divide(F.col("value") - F.col("mean"), "sd"), F.lit(0.0)).alias("z"))
 
 

@@ -52,13 +52,13 @@ def quality_flags(spark, sf):
     return d.join(known, "doc_id", "left").fillna({"is_labelled": 0})
 
 
-@register("SELECT r.r_regionkey AS a, s.r_regionkey AS b, coalesce(n, 0) >= 20 AS matched FROM region r CROSS JOIN region s LEFT JOIN (SELECT cn.n_regionkey AS a, sn.n_regionkey AS b, count(DISTINCT s_suppkey) AS n FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY ALL) m ON m.a = r.r_regionkey AND m.b = s.r_regionkey")
+@register("SELECT r.r_regionkey AS a, s.r_regionkey AS b, coalesce(n, 0) >= 20 AS matched FROM region r CROSS JOIN region s LEFT JOIN (SELECT cn.n_regionkey AS a, sn.n_regionkey AS b, count(DISTINCT s_suppkey) AS n FROM customer JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey GROUP BY ALL) m ON m.a = r.r_regionkey AND m.b = s.r_regionkey")
 def match_grid(spark, sf):
     """Which regions of customers and suppliers match, over the whole grid."""
     nation = table(spark, sf, "nation")
     c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("a"))
     s = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("b"))
-    lines = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     n = lines.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("a", "b").agg((F.count_distinct("s_suppkey") >= 20).alias("matched"))
     keys = table(spark, sf, "region").select("r_regionkey")
     grid = keys.select(F.col("r_regionkey").alias("a")).join(F.broadcast(keys.select(F.col("r_regionkey").alias("b"))))
@@ -111,11 +111,11 @@ def classifier_null(spark, sf):
     return rounded(out.select("seed", "tp", (F.col("tp") / F.col("called")).alias("share")), "share")
 
 
-@register("WITH r AS (SELECT p_brand AS study, l_returnflag AS genotype, l_extendedprice AS value, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY p_brand, l_returnflag) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 WINDOW w AS (PARTITION BY p_brand, l_returnflag ORDER BY l_orderkey, l_suppkey)), w AS (SELECT study, genotype, draw, ('0x' || left(md5(concat_ws('-', study || '/' || genotype, draw, nth)), 8))::BIGINT % size AS take FROM r, range(1, 6) d(draw)), s AS (SELECT study, genotype, draw, avg(value) AS m, stddev_samp(value) AS d FROM w JOIN r USING (study, genotype) WHERE nth = take GROUP BY ALL) SELECT study, a.genotype, draw, round(coalesce((a.m - b.m) / nullif(b.d, 0), 0), 5) AS effect FROM s a JOIN s b USING (study, draw) WHERE b.genotype = 'N' AND a.genotype <> 'N'")
+@register("WITH r AS (SELECT p_brand AS study, l_returnflag AS genotype, l_extendedprice AS value, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY p_brand, l_returnflag) AS size FROM lineitem JOIN part ON l_partkey = p_partkey WINDOW w AS (PARTITION BY p_brand, l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)), w AS (SELECT study, genotype, draw, ('0x' || left(md5(concat_ws('-', study || '/' || genotype, draw, nth)), 8))::BIGINT % size AS take FROM r, range(1, 6) d(draw)), s AS (SELECT study, genotype, draw, avg(value) AS m, stddev_samp(value) AS d FROM w JOIN r USING (study, genotype) WHERE nth = take GROUP BY ALL) SELECT study, a.genotype, draw, round(coalesce((a.m - b.m) / nullif(b.d, 0), 0), 5) AS effect FROM s a JOIN s b USING (study, draw) WHERE b.genotype = 'N' AND a.genotype <> 'N'")
 def bootstrap_effects(spark, sf):
     """Effect sizes over five draws with replacement within study and genotype."""
-    lines = table(spark, sf, "lineitem").filter("l_linenumber = 1").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = lines.select(F.concat_ws("/", "p_brand", "l_returnflag").alias("g"), F.struct("l_orderkey", "l_suppkey").alias("id"), F.col("l_extendedprice").alias("value"))
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.select(F.concat_ws("/", "p_brand", "l_returnflag").alias("g"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"), F.col("l_extendedprice").alias("value"))
     drawn = P.drawn_rows(rows, "g", 5).select(F.split_part("g", F.lit("/"), F.lit(1)).alias("study"), F.split_part("g", F.lit("/"), F.lit(2)).alias("genotype"), "draw", "value")
     from cohortry.operators.effects import effect_sizes
 
@@ -130,7 +130,7 @@ def points_to_labels(spark, sf):
     return V.nearest_voxel(points, (-1.0, -1.0, -1.0), 0.25).groupBy("i", "j", "k").agg(F.max_by("label", "vec_id").cast("int").alias("label"))
 
 
-@register("SELECT a.alpha, count_if(f < a.alpha AND s < a.alpha) AS both, count_if(f < a.alpha) AS first, count_if(s < a.alpha) AS second, count(*) AS n FROM (SELECT p_partkey, (p_retailprice % 100) / 100 AS f, ((p_retailprice * 7) % 100) / 100 AS s FROM part), (VALUES (0.05), (0.2), (0.5)) a(alpha) GROUP BY 1")
+@register("SELECT a.alpha, count_if(f < a.alpha AND s < a.alpha) AS both, count_if(f < a.alpha) AS first, count_if(s < a.alpha) AS second, count(*) AS n FROM (SELECT p_partkey, (p_retailprice % 100) / 100 AS f, ((p_retailprice * 7) % 100) / 100 AS s FROM part), (VALUES (0.05::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) a(alpha) GROUP BY 1")
 def overlap_over_levels(spark, sf):
     """Items significant in both of two analyses, over a grid of levels."""
     p = table(spark, sf, "part").select(((F.col("p_retailprice") % 100) / 100).alias("f"), (((F.col("p_retailprice") * 7) % 100) / 100).alias("s"))
@@ -147,11 +147,11 @@ def root_counts_of_top_terms(spark, sf):
     return R.on_grid(top, p.select("p_type").distinct(), ["p_type"], {"n": 0})
 
 
-@register("SELECT DISTINCT l_partkey AS gene, s_nationkey AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 7 = 0")
+@register("SELECT DISTINCT l_partkey AS gene, s_nationkey AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey")
 def homologues(spark, sf):
     """Parts to nations through suppliers, as genes to another species through classes."""
     lines = table(spark, sf, "lineitem")
     bridge = lines.select(F.col("l_suppkey").alias("class"), F.lit("part").alias("species"), F.col("l_partkey").alias("symbol")).distinct()
     bridge = bridge.unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("class"), F.lit("nation").alias("species"), F.col("s_nationkey").cast("long").alias("symbol")))
-    genes = lines.select(F.col("l_partkey").alias("gene")).filter("gene % 7 = 0").distinct()
+    genes = lines.select(F.col("l_partkey").alias("gene")).distinct()
     return N.bridged(genes, bridge, "part", "nation").select("gene", F.col("other").cast("int").alias("other"))

@@ -84,10 +84,10 @@ def signed_similarity(spark, sf):
     return rounded(S.over_signs(both, "cosine"), "cosine")
 
 
-@register(f"WITH {VOXELS}, p AS (SELECT * FROM (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings) WHERE a % 5 = 0) SELECT a, b, round((avg(x.value * y.value) - avg(x.value) * avg(y.value)) / nullif(stddev_pop(x.value) * stddev_pop(y.value), 0), 6) AS r FROM p JOIN voxels x ON x.image = a JOIN voxels y ON y.image = b AND x.voxel = y.voxel GROUP BY 1, 2")
+@register(f"WITH {VOXELS}, p AS (SELECT * FROM (SELECT vec_id AS a, vec_id + 1 AS b FROM embeddings)) SELECT a, b, round((avg(x.value * y.value) - avg(x.value) * avg(y.value)) / nullif(stddev_pop(x.value) * stddev_pop(y.value), 0), 6) AS r FROM p JOIN voxels x ON x.image = a JOIN voxels y ON y.image = b AND x.voxel = y.voxel GROUP BY 1, 2")
 def image_correlation(spark, sf):
     v = voxels(spark, sf)
-    left = v.filter("image % 5 = 0").select(F.col("image").alias("a"), (F.col("image") + 1).alias("b"), "voxel", F.col("value").alias("x"))
+    left = v.select(F.col("image").alias("a"), (F.col("image") + 1).alias("b"), "voxel", F.col("value").alias("x"))
     return rounded(V.correlated(left.join(v.select(F.col("image").alias("b"), "voxel", F.col("value").alias("y")), ["b", "voxel"]), "x", "y", ["a", "b"]), "r")
 
 
@@ -135,12 +135,11 @@ def matched_controls(spark, sf):
     return _matches(spark, sf).select("patient", "control", "tier")
 
 
-@register(f"{_MATCHED} SELECT patient, 1 AS at, round((any_value(s_acctbal) - avg(c_acctbal)) / stddev_samp(c_acctbal), 6) AS z FROM m JOIN customer ON control = c_custkey JOIN supplier ON patient = s_suppkey GROUP BY patient")
+@register(f"{_MATCHED} SELECT patient, 1 AS at, round(coalesce((any_value(s_acctbal) - avg(c_acctbal)) / nullif(stddev_samp(c_acctbal), 0), 0), 6) AS z FROM m JOIN customer ON control = c_custkey JOIN supplier ON patient = s_suppkey GROUP BY patient")
 def matched_z(spark, sf):
     values = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("at"), F.col("c_acctbal").alias("value"))
-    own = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("patient"), "s_acctbal")
-    base = _matches(spark, sf).join(values.select(F.col("id").alias("control"), "at", "value"), "control").groupBy("patient", "at").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    return rounded(base.join(own, "patient").select("patient", "at", F.try_divide(F.col("s_acctbal") - F.col("m"), "s").alias("z")), "z")
+    own = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(1).alias("at"), F.col("s_acctbal").alias("value"))
+    return rounded(E.matched_z(own, values, _matches(spark, sf)), "z")
 
 
 _NORM = "WITH r AS (SELECT l_orderkey, l_linenumber, l_linenumber AS place, l_quantity AS x, l_linestatus AS sex, l_returnflag = 'N' AS ctrl, l_extendedprice AS value FROM lineitem), g AS (SELECT place, sex, count(*) AS n, avg(x) AS mx, avg(value) AS my, var_pop(x) AS vx, covar_pop(x, value) AS cxy, var_pop(value) AS vy FROM r WHERE ctrl GROUP BY ALL), p AS (SELECT place, sum(n * vx) AS sxx, sum(n * cxy) AS sxy, sum(n * vy) AS syy, sum(n) AS m, count(*) AS k FROM g GROUP BY 1)"

@@ -52,7 +52,7 @@ def train_split(spark, sf):
     return P.split(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g")), "id", 11, 0.8, ["g"])
 
 
-_SETS = """fg AS (SELECT DISTINCT c_mktsegment AS target, l_partkey AS gene FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' AND l_linenumber = 1),
+_SETS = """fg AS (SELECT DISTINCT c_mktsegment AS target, l_partkey AS gene FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
 u AS (SELECT DISTINCT l_partkey AS gene FROM lineitem), i AS (SELECT DISTINCT p_brand AS module, p_partkey AS gene FROM part WHERE p_partkey IN (SELECT gene FROM u)),
 c AS (SELECT target, module, (SELECT count(*) FROM fg f JOIN i j USING (gene) WHERE f.target = t.target AND j.module = m.module) AS b, B, n, (SELECT count(*) FROM u) AS N2 FROM (SELECT target, count(*) AS n FROM fg GROUP BY 1) t, (SELECT module, count(*) AS B FROM i GROUP BY 1) m)"""
 
@@ -60,7 +60,7 @@ c AS (SELECT target, module, (SELECT count(*) FROM fg f JOIN i j USING (gene) WH
 def _sets(spark, sf):
     o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     lines = table(spark, sf, "lineitem")
-    fg = lines.filter("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_mktsegment").alias("target"), F.col("l_partkey").alias("gene"))
+    fg = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("c_mktsegment").alias("target"), F.col("l_partkey").alias("gene"))
     modules = table(spark, sf, "part").select(F.col("p_brand").alias("module"), F.col("p_partkey").alias("gene"))
     return N.overlap_counts(fg, lines.select(F.col("l_partkey").alias("gene")), modules)
 
@@ -84,11 +84,11 @@ def enrichment_table(spark, sf):
     return rounded(ranked, "q")
 
 
-@register("WITH e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL), d AS (SELECT a AS seed, b AS gene FROM e WHERE score >= 2 UNION SELECT b, a FROM e WHERE score >= 2) SELECT seed, gene FROM d WHERE seed % 10 = 0 UNION SELECT p_partkey, p_partkey FROM part WHERE p_partkey % 10 = 0")
+@register("WITH e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL), d AS (SELECT a AS seed, b AS gene FROM e WHERE score >= 2 UNION SELECT b, a FROM e WHERE score >= 2) SELECT seed, gene FROM d UNION SELECT p_partkey, p_partkey FROM part")
 def network_neighbourhood(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     edges = lines.select("l_orderkey", F.col("l_partkey").alias("a")).join(lines.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("score"))
-    seeds = table(spark, sf, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("seed"))
+    seeds = table(spark, sf, "part").select(F.col("p_partkey").alias("seed"))
     return N.neighbourhood(edges, seeds, 2)
 
 
