@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortry.operators.relational import below_sums
+
 
 def log_factorials(spark: SparkSession, most: int) -> DataFrame:
     """(n, lf): logarithms of n! for 0..most, summed in blocks so that no window holds all of them.
@@ -31,7 +33,7 @@ def overlap_counts(foreground: DataFrame, universe: DataFrame, modules: DataFram
     small = fg.groupBy("target").agg(F.count("*").alias("chosen"))
     hits = fg.join(inside, "gene").groupBy("target", "module").agg(F.count("*").alias("hit"))
     total = every.agg(F.count("*").alias("total"))
-    grid = small.join(F.broadcast(big)).join(F.broadcast(total))
+    grid = small.join(big).join(F.broadcast(total))
     return grid.join(hits, ["target", "module"], "left").fillna({"hit": 0})
 
 
@@ -85,17 +87,19 @@ def roc_area(rows: DataFrame, score: str, truth: Column, groups: list[str] | Non
     """
     groups = groups or []
     counted = rows.groupBy(*groups, score).agg(F.count_if(truth).alias("pos"), F.count_if(~truth).alias("neg"))
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    if groups:
+        w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    else:
+        placed = below_sums(counted, score, ["neg"]).withColumnRenamed("below_neg", "below")
     return placed.groupBy(*groups).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 
 
 def precision_recall(rows: DataFrame, score: str, truth: Column) -> DataFrame:
     """(score, precision, recall) at each distinct score, rows of that score or higher counted as positive."""
     counted = rows.groupBy(score).agg(F.count_if(truth).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     total = counted.agg(F.sum("pos").alias("total"))
-    run = counted.withColumns({"tp": F.sum("pos").over(w), "called": F.sum("n").over(w)}).join(F.broadcast(total))
+    run = below_sums(counted, score, ["pos", "n"], descending=True).select(score, (F.col("below_pos") + F.col("pos")).alias("tp"), (F.col("below_n") + F.col("n")).alias("called")).join(F.broadcast(total))
     return run.select(score, (F.col("tp") / F.col("called")).alias("precision"), F.try_divide("tp", "total").alias("recall"))
 
 
@@ -110,3 +114,44 @@ def mutual_information(rows: DataFrame, x: Column, y: Column, groups: list[str])
         return F.when(joint > 0, joint / total * F.log2(joint * total / (row * column))).otherwise(0.0)
 
     return out.select(*groups, (term(0, 0) + term(0, 1) + term(1, 0) + term(1, 1)).alias("bits"))
+
+
+def average_precision(rows: DataFrame, score: str, truth: Column) -> DataFrame:
+    """One row: the area under precision over recall by steps, and the share of positive rows, which is what a random score gets."""
+    counted = rows.groupBy(score).agg(F.count_if(truth).alias("pos"), F.count("*").alias("n"))
+    run = below_sums(counted, score, ["pos", "n"], descending=True)
+    out = run.agg(F.sum(F.col("pos") * (F.col("below_pos") + F.col("pos")) / (F.col("below_n") + F.col("n"))).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("all"))
+    return out.select(F.try_divide("s", "p").alias("area"), F.try_divide("p", "all").alias("positive_share"))
+
+
+def gene_names(models: DataFrame, renames: DataFrame, overrides: DataFrame, excluded: DataFrame) -> DataFrame:
+    """models (id, name) with gene: the name before its bracket, renamed by (old, new), then overridden by (id, gene); excluded (name) models go.
+
+    The tables are small parameters, and Spark joins them as their sizes allow.
+    """
+    left = models.join(excluded.select("name").distinct(), "name", "left_anti").withColumn("old", F.trim(F.regexp_extract("name", r"^([^(]*)", 1)))
+    named = left.join(renames, "old", "left").join(overrides.withColumnRenamed("gene", "own"), "id", "left")
+    return named.select("id", "name", F.coalesce("own", "new", "old").alias("gene"))
+
+
+def complement_sets(members: DataFrame) -> DataFrame:
+    """(target, gene): for each target the genes of all others together. members: target, gene.
+
+    A gene's targets are counted: a gene that any other target has, is in the complement, so only targets x distinct
+    genes, the size of the result, are made.
+    """
+    m = members.select("target", "gene").distinct()
+    held = m.groupBy("gene").agg(F.count("*").alias("held"))
+    grid = held.join(m.select("target").distinct())
+    own = m.withColumn("own", F.lit(1))
+    return grid.join(own, ["target", "gene"], "left").filter(F.col("held") > F.coalesce("own", F.lit(0))).select("target", "gene")
+
+
+def term_list(modules: DataFrame, genes: DataFrame, least: int) -> DataFrame:
+    """(module, n): modules with at least `least` of the genes. modules: module, gene; genes: gene."""
+    return modules.distinct().join(genes.distinct(), "gene", "left_semi").groupBy("module").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def negative_log(q: Column, natural: bool = False) -> Column:
+    """-log10 of q, or its natural logarithm; null at 0, where it has no value."""
+    return F.when(q > 0, -(F.ln(q) if natural else F.log10(q)) + F.lit(0.0))

@@ -65,3 +65,14 @@ def coarse_label(tree: DataFrame, structures: DataFrame) -> DataFrame:
     """(node, structure): the nearest of the given structures (node) at or above each node."""
     up = closure(tree).join(structures.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
     return up.groupBy("node").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("structure"))
+
+
+def reduced_labels(samples: DataFrame, tree: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(sample, node, label): each sample moves up to the leaf of a pruned tree above it, whose label is the smallest of its samples'; 0 and null without one.
+
+    samples: sample, node, label; leaves: node.
+    """
+    up = closure(tree).join(leaves.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
+    moved = samples.join(up.select("node", "ancestor"), "node", "left").select("sample", F.col("ancestor").alias("node"), F.col("label").alias("own"))
+    lowest = moved.filter("node IS NOT NULL").groupBy("node").agg(F.min("own").alias("label"))
+    return moved.join(lowest, "node", "left").select("sample", "node", F.coalesce("label", F.lit(0)).alias("label"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -138,3 +139,43 @@ def set_overlaps(members: DataFrame, group: str, item: str) -> DataFrame:
     sized = both.join(sizes.withColumnRenamed("n", "n_a"), "g").join(sizes.select(F.col("g").alias("h"), F.col("n").alias("n_b")), "h")
     n = F.col("shared").cast("double")
     return sized.select(F.col("g").alias("a"), F.col("h").alias("b"), "shared", (n / (F.col("n_a") + F.col("n_b") - n)).alias("jaccard"), (n / F.least("n_a", "n_b")).alias("overlap"), (n / F.col("n_a")).alias("a_in_b"), (n / F.col("n_b")).alias("b_in_a"))
+
+
+def below_sums(rows: DataFrame, order: str, columns: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """rows, of which each value of order has one, with below_<column>: the sum over rows of lower (or higher) order.
+
+    Rows are dealt to ranges between approximate percentiles, summed within each range, and the sums of the ranges before
+    are added: no task holds more than a range, and one row of percentiles and one sum a range are broadcast.
+    """
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10_000)).alias("__cuts"))
+    # Ranges are numbered in the order of summation.
+    passed = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
+    placed = rows.join(F.broadcast(cuts)).withColumn("__range", -passed if descending else passed).drop("__cuts")
+    by = F.desc(order) if descending else F.asc(order)
+    within = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__range").agg(*[F.sum(c).alias(f"__all_{c}") for c in columns])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__all_{c}").over(before), F.lit(0)).alias(f"__before_{c}") for c in columns])
+    own = placed.withColumns({f"__own_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns})
+    return own.join(F.broadcast(totals), "__range").select(*rows.columns, *[(F.col(f"__own_{c}") + F.col(f"__before_{c}")).alias(f"below_{c}") for c in columns])
+
+
+def selected(df: DataFrame, starts: str | None = None, contains: str | None = None, matches: str | None = None, names: Iterable[str] = (), keep_rest: bool = False) -> DataFrame:
+    """The columns that a helper names, in the frame's order, each once; keep_rest puts the others behind them."""
+    chosen = [c for c in df.columns if c in set(names) or (starts and c.startswith(starts)) or (contains and contains in c) or (matches and re.search(matches, c))]
+    return df.select(*chosen, *([c for c in df.columns if c not in chosen] if keep_rest else []))
+
+
+def without_metadata_rows(df: DataFrame, column: str, labels: Iterable[str]) -> DataFrame:
+    """Rows but those that repeat a header or hold units: their column has one of labels. Rows of a file have no order in Spark, so they are known by content."""
+    return df.filter(F.col(column).isNull() | ~F.col(column).isin(*labels))
+
+
+def bound(left: DataFrame, right: DataFrame, row: str) -> DataFrame:
+    """Columns of both side by side, by an explicit row number; a number that one side lacks is an error of the data and gives nulls."""
+    return left.join(right, row, "full_outer")
+
+
+def in_order(df: DataFrame, column: str, levels: list) -> DataFrame:
+    """df with place: the position of column's value among levels; null for values that have none."""
+    return df.withColumn("place", F.nullif(F.array_position(F.array(*map(F.lit, levels)), F.col(column)), F.lit(0).cast("long")).cast("int"))

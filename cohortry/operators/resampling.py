@@ -57,3 +57,35 @@ def split(rows: DataFrame, key: str, seed: int, share: float, groups: list[str])
     own = Window.partitionBy(*groups)
     place = F.row_number().over(own.orderBy(order_key(key, F.lit(str(seed))), key))
     return rows.withColumn("train", place <= F.floor(F.count("*").over(own) * share))
+
+
+def pooled_p(observed: DataFrame, null: DataFrame, value: str, off_diagonal: int = 1, least: int = 2) -> DataFrame:
+    """observed (nk1, nk2, and more) with p: the share of the null's values of (nk1, nk2), pooled over clusters and permutations, that are as high.
+
+    Of pairs of solutions with at least `least` clusters, at most off_diagonal apart. Both sides are counted by value
+    first, and meet in one window per pair of solutions, not in a join of every value with every other.
+    """
+    near = (F.abs(F.col("nk1") - F.col("nk2")) <= off_diagonal) & (F.col("nk1") >= least) & (F.col("nk2") >= least)
+    counted = null.filter(near & F.col(value).isNotNull()).groupBy("nk1", "nk2", value).agg(F.count("*").alias("m"))
+    wanted = observed.filter(near & F.col(value).isNotNull()).select("nk1", "nk2", value).distinct().withColumn("m", F.lit(0).cast("long"))
+    both = counted.unionByName(wanted)
+    pair = Window.partitionBy("nk1", "nk2")
+    run = both.select("*", (F.sum("m").over(pair.orderBy(F.desc(value))) / F.sum("m").over(pair)).alias("p")).filter("m = 0").drop("m")
+    return observed.filter(near).join(run, ["nk1", "nk2", value], "left")
+
+
+def uniform(*parts) -> Column:
+    """A number in (0, 1) from the hash of the parts, the same on any partitioning and in SQL."""
+    return (F.conv(F.substring(order_key(*parts), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
+def normal(*parts) -> Column:
+    """A standard normal number from the hash of the parts."""
+    return F.sqrt(-2 * F.ln(uniform(*parts, F.lit("r")))) * F.cos(2 * F.pi() * uniform(*parts, F.lit("a")))
+
+
+def first_of_each(rows: DataFrame, key: str, ident: str, seed, more: list[str]) -> DataFrame:
+    """One row per key (and columns of more) in seeded order: partial minima, so a key of many rows is no hot group. seed: a column or literal."""
+    rest = [c for c in rows.columns if c != key and c not in more]
+    best = rows.groupBy(key, *more).agg(F.min_by(F.struct(*rest), F.struct(order_key(ident, seed), ident)).alias("x"))
+    return best.select(key, *more, "x.*")

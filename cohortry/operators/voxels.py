@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ def correlated(pairs: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame
 
 
 def centroids(voxels: DataFrame, clusters: DataFrame, how: str = "mean") -> DataFrame:
-    """Voxel-wise mean or median of the images of each cluster (nk, k). clusters: image, nk, k."""
-    agg = {"mean": F.avg, "median": F.median}[how]
+    """Voxel-wise mean, median or standard deviation of the images of each cluster (nk, k). clusters: image, nk, k."""
+    agg = {"mean": F.avg, "median": F.median, "sd": F.stddev_samp}[how]
     return voxels.join(clusters, "image").groupBy("nk", "k", "voxel").agg(agg("value").alias("value"))
 
 
@@ -91,3 +93,23 @@ def nearest_voxel(points: DataFrame, origin: tuple[float, float, float], step: f
 def flipped(points: DataFrame) -> DataFrame:
     """Coordinates between right-anterior-superior and left-posterior-superior: x and y change sign."""
     return points.withColumns({"x": -F.col("x"), "y": -F.col("y")})
+
+
+def thresholded(voxels: DataFrame, method: str, **options) -> DataFrame:
+    """intensity_threshold or top_threshold, by name."""
+    return {"intensity": intensity_threshold, "top_n": top_threshold}[method](voxels, **options)
+
+
+def partial_mask(mask: DataFrame, n: int, above: float = 0.5) -> DataFrame:
+    """The first n voxels of a mask (voxel, w), by number."""
+    return mask.filter(F.col("w") > above).orderBy("voxel").limit(n)
+
+
+def peaks_in_space(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Voxels of a grid (x fastest) that are higher than all of their up to 26 neighbours."""
+    nx, ny, _ = shape
+    at = voxels.select("image", "voxel", "value", (F.col("voxel") % nx).alias("x"), (F.floor(F.col("voxel") / nx) % ny).cast("int").alias("y"), F.floor(F.col("voxel") / (nx * ny)).cast("int").alias("z"))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(d, ("dx", "dy", "dz"), strict=True)]) for d in itertools.product((-1, 0, 1), repeat=3) if d != (0, 0, 0)])
+    near = at.select("image", F.col("value").alias("other"), F.explode(steps).alias("d"), "x", "y", "z").select("image", "other", *[(F.col(c) + F.col(f"d.d{c}")).alias(c) for c in "xyz"])
+    high = near.groupBy("image", "x", "y", "z").agg(F.max("other").alias("highest"))
+    return at.join(high, ["image", "x", "y", "z"], "left").filter(F.col("highest").isNull() | (F.col("value") > F.col("highest"))).select("image", "voxel", "value")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,8 +17,10 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, separator: st
 
 def gene_sets(spark: SparkSession, path: str) -> DataFrame:
     """(id, title, genes) from lines of tab-separated id, title and genes; repeated ids get a running number."""
-    parts = spark.read.text(path).select(F.split("value", "\t").alias("p"))
-    return parts.select(F.get("p", F.lit(0)).alias("id"), F.get("p", F.lit(1)).alias("title"), F.filter(F.expr("slice(p, 3, greatest(size(p) - 2, 0))"), lambda g: g != "").alias("genes"))
+    parts = spark.read.text(path).select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("at"), F.split("value", "\t").alias("p"))
+    again = F.row_number().over(Window.partitionBy(F.get("p", F.lit(0))).orderBy("file_path", "at")) - 1
+    own = F.get("p", F.lit(0))
+    return parts.select(F.concat(own, F.when(again > 0, F.concat(F.lit("."), again.cast("string"))).otherwise("")).alias("id"), F.get("p", F.lit(1)).alias("title"), F.filter(F.expr("slice(p, 3, greatest(size(p) - 2, 0))"), lambda g: g != "").alias("genes"))
 
 
 def members(sets: DataFrame) -> DataFrame:
@@ -67,3 +72,13 @@ def to_text(df: DataFrame, column: str, path: str) -> None:
 def to_tags(points: DataFrame, path: str) -> None:
     """Point lines ' x y z "label"' of coordinate tags."""
     points.select(F.format_string(' %f %f %f "%s"', "x", "y", "z", F.col("label").cast("string"))).write.mode("overwrite").text(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files, below spark.checkpoint.dir, which driver and executors share; only a local master may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
