@@ -115,8 +115,8 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, key: str =
     """One row per row of pages: key, host, path, rule, verdict (allow or block), blocked (the trees' probability, null under a rule).
 
     Trees learn from labelled (url, label 0 or 1, 1 is block) or, without it, from those urls of pages that a rule
-    judges: about most_rows of them, chosen by url hash (documented bound). Suffix statistics are counted over all
-    labelled rows and kept for all values; those of the `suffixes` most frequent ones are broadcast. The last domain label is the suffix; the label before it with the first folder is another one.
+    judges: about most_rows distinct ones, chosen by url hash (documented bound). A label above 0 means block. Suffix
+    statistics are counted over all labelled rows and kept for all values; those of the `suffixes` most frequent ones are broadcast. The last domain label is the suffix; the label before it with the first folder is another one.
     If labels are all alike, or there are none, the trees have nothing to learn: urls get that label, else allow.
     Null urls and such without '://' have empty host and path and no rule, and are judged by their features. Repeated
     rows are judged alike; no rows in, no rows out; other columns are left out.
@@ -132,16 +132,17 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, key: str =
     if labelled is None:
         train = judged.filter("rule IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
     else:
-        train = labelled.select(F.col("url"), F.col("label").cast("double")).withColumns({"host": host, "path": path}).filter("label IS NOT NULL")
+        train = labelled.select(F.col("url"), (F.col("label").cast("double") > 0).cast("double").alias("label")).withColumns({"host": host, "path": path}).filter("label IS NOT NULL")
     train = lexical(train, "url", "host", "path")
-    n, kinds = train.agg(F.count("*"), F.collect_set("label")).first()
+    kinds = train.agg(F.collect_set("label")).first()[0]
     if len(kinds) < 2:
         blocked = F.lit(kinds[0] if kinds else 0.0)
         scored = judged.withColumn("blocked", blocked)
     else:
         tables = {c: statistics(train, c, 2, suffixes) for c in ("suffix", "folder")}
-        share = min(1.0, most_rows / n)
-        picked = train.filter(F.abs(F.xxhash64(F.coalesce("url", F.lit(""))) % 1_000_003) / 1_000_003.0 < share)
+        urls = train.dropDuplicates(["url", "label"])
+        share = min(1.0, most_rows / urls.count())
+        picked = urls.filter(F.abs(F.xxhash64(F.coalesce("url", F.lit(""))) % 1_000_003) / 1_000_003.0 < share)
         assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         sample = assembler.transform(written(with_statistics(picked, tables).select(*FEATURES, "label")))
         if sample.select("label").distinct().count() < 2:

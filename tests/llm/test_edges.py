@@ -1,5 +1,6 @@
 """Edge cases of the text operators: repeated and null keys, odd characters, many blocks, against brute force or the library."""
 
+import math
 import random
 import time
 import zipfile
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.llm import decontaminate, exact_dedup, packing, toxicity, warc
+from cohortry.llm import decontaminate, exact_dedup, packing, toxicity, url_filter, warc
 from cohortry.llm.zip_ranges import ZipRanges
 
 ALPHABET = [*"abcXYZ.,'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
@@ -138,3 +139,43 @@ def test_zip64_end_records_are_read(tmp_path, monkeypatch):
     end = data.rindex(b"PK\x05\x06")
     full[end + 8 : end + 20] = b"\xff" * 12  # all fields of the end record say: look in the ZIP64 record
     assert ZipRanges(lambda a, n: bytes(full[a : a + n]), len(full)).read("second", 1, 2) == b"bc"
+
+
+def plain_features(url):
+    """The lexical features read literally; host and path as the contract says."""
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, rest = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
+    path = rest[: min([rest.find(c) for c in "?#" if c in rest], default=len(rest))]
+    query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+    shares = [url.count(c) / len(url) for c in set(url)]
+    return {
+        "url_length": len(url),
+        "host_length": len(host),
+        "path_length": len(path),
+        "depth": sum(1 for x in path.split("/") if x),
+        "labels": len(host.split(".")) if host else 0,
+        "digit_ratio": sum(c in "0123456789" for c in url) / len(url) if url else 0,
+        "entropy": -sum(s * math.log2(s) for s in shares),
+        "parameters": sum(1 for x in query.split("&") if x),
+        "hyphens": host.count("-"),
+        "secure": url.startswith("https://"),
+    }
+
+
+def test_url_features_equal_a_plain_reading(spark):
+    urls = [None, "", "no scheme", "http://A-b.c.org/x/yy//z?a=1&b=2&&#f", "https://1.2.net", "https://h/é/日?q", "http://a?x&y", "http://a-b-c.d/%20/9/8?=#?z=1"]
+    host, path = url_filter.parts("url")
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "id int, url string").withColumns({"host": host, "path": path})
+    for r in url_filter.lexical(rows, "url", "host", "path").collect():
+        for name, want in plain_features(urls[r.id]).items():
+            assert float(r[name]) == pytest.approx(float(want)), (urls[r.id], name)
+
+
+def test_url_verdicts_learn_from_labels_however_often_a_url_repeats(spark):
+    good, bad = ([f"https://{h}.org/{p}/{k}" for k in range(60)] for h, p in (("good", "read"), ("bad-77-88", "x1/y2/z3")))
+    labelled = spark.createDataFrame([(u, 0) for u in good] + [(u, 5) for u in bad] + [(bad[0], 5)] * 500 + [("http://null", None)], "url string, label int")
+    pages = spark.createDataFrame([(0, "https://good.org/read/1000"), (1, "https://bad-77-88.org/x1/y2/z3/1000")], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages, labelled, trees=3, depth=2, most_rows=100).collect()}
+    assert (got[0].verdict, got[1].verdict) == ("allow", "block") and got[0].rule is None and got[0].blocked < 0.5 < got[1].blocked
