@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import arrow_map, table, written
 
 CHUNKS = re.compile(r"[^ \t\n\r]+")
+#: White space by Python's rules, beyond that of CHUNKS.
+MORE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII signs but for the apostrophe, which begins endings, and the bracket, which begins special tokens.
+SIGNS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 #: Letters below U+0250 but for U+0130, which lower-cases to a letter and a combining mark: composing and lower-casing leave them letters.
 PLAIN = re.compile(r"(?:(?!\u0130)[A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F])+")
 
@@ -43,15 +47,19 @@ class IdBytes(dict):
     def learn(self, chunks: set[str]) -> None:
         """Remembers chunks. Words of letters alone are encoded together; if each has one id that ends a word, it is its last.
 
-        Every word has at least one such id, so as many of them as words means one each. A plain letter and the stop
-        behind it are always apart, so a plain word with a stop is the word's ids and the stop's. Any other chunk is
-        encoded by itself: composing and lower-casing may leave a mark last, which joins the stop.
+        Every word has at least one such id, so as many of them as words means one each. Plain letters and the run of
+        signs behind them are always apart, so such a chunk is the word's ids and the run's. Any other chunk is encoded
+        by itself: composing and lower-casing may leave a mark last, which joins the sign.
         """
         if len(self) + len(chunks) > self.most:
             self.clear()
         chunks = {c for c in chunks if len(c) <= 64}
-        stopped = {c for c in chunks if c[-1] in ".," and PLAIN.fullmatch(c, 0, len(c) - 1)}
-        words = [c for c in (chunks - stopped).union(c[:-1] for c in stopped).difference(self) if c.isalpha()]
+        signed = {}
+        for c in chunks:
+            word = c.rstrip(SIGNS)
+            if word and len(word) < len(c) and (word.isalpha() if word.isascii() else PLAIN.fullmatch(word)):
+                signed[c] = word, c[len(word) :]
+        words = [c for c in chunks.difference(signed).union(w for w, _ in signed.values()).difference(self) if c.isalpha()]
         if words:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
@@ -60,18 +68,18 @@ class IdBytes(dict):
                 for word, stop in zip(words, cut.tolist(), strict=True):
                     self[word] = data[start:stop]
                     start = stop
-        for chunk in chunks - stopped:
+        for chunk in chunks.difference(signed):
             if chunk not in self:
                 self[chunk] = self[chunk]
-        stops = {x: self[x] for x in ".,"}
-        for chunk in stopped:
-            self[chunk] = self[chunk[:-1]] + stops[chunk[-1]]
+        runs = {run: self[run] for run in {run for _, run in signed.values()}}
+        for chunk, (word, run) in signed.items():
+            self[chunk] = self[word] + runs[run]
 
     def of(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """The ids of each text and end_id."""
         end = end_id.to_bytes(4, "little")
         for at in range(0, len(texts), 64):
-            block = [CHUNKS.findall(text) for text in texts[at : at + 64]]
+            block = [CHUNKS.findall(text) if MORE_SPACE.search(text) else text.split() for text in texts[at : at + 64]]
             found = [list(map(self.get, chunks)) for chunks in block]
             if fresh := {c for chunks, ids in zip(block, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}:
                 self.learn(fresh)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortry.llm import decontaminate, exact_dedup, packing, toxicity, url_filter, warc
 from cohortry.llm.zip_ranges import ZipRanges
 
-ALPHABET = [*"abcXYZ.,'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
+ALPHABET = [*"abcXYZ.,!_&<|#'-0 1é", "İ", "ı", "Σ", "ς", "ß", "ẞ", "ǅ", "ख़", "́", "̇", "̧", "क", "्", "ा", "한", "ᄀ", "ᅡ", "K", "Å", "Ω", "ﬁ", "‍", " ", " ", "\x1c", "\x85", "日", "👍", "<|endoftext|>", "</w>", "'s", "ͅ", "क़", "ख़"]
 
 
 def test_packing_ids_equal_the_library_over_odd_characters():
