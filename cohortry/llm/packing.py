@@ -53,14 +53,25 @@ class IdBytes(dict):
         """
         if len(self) + len(chunks) > self.most:
             self.clear()
-        chunks = {c for c in chunks if len(c) <= 64}
-        signed = {}
+        words, others, signed, runs = set(), [], [], {}
         for c in chunks:
+            if len(c) > 64:
+                continue
+            if c.isalpha():
+                words.add(c)
+                continue
             word = c.rstrip(SIGNS)
             if word and len(word) < len(c) and (word.isalpha() if word.isascii() else PLAIN.fullmatch(word)):
-                signed[c] = word, c[len(word) :]
-        words = [c for c in chunks.difference(signed).union(w for w, _ in signed.values()).difference(self) if c.isalpha()]
+                run = c[len(word) :]
+                signed.append((c, word, run))
+                if run not in runs:
+                    runs[run] = self[run]
+                if word not in self:
+                    words.add(word)
+            else:
+                others.append(c)
         if words:
+            words = list(words)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cut = (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1) * 4
             if len(cut) == len(words):
@@ -68,11 +79,11 @@ class IdBytes(dict):
                 for word, stop in zip(words, cut.tolist(), strict=True):
                     self[word] = data[start:stop]
                     start = stop
-        for chunk in chunks.difference(signed):
-            if chunk not in self:
-                self[chunk] = self[chunk]
-        runs = {run: self[run] for run in {run for _, run in signed.values()}}
-        for chunk, (word, run) in signed.items():
+            else:
+                others += words
+        for chunk in others:
+            self[chunk] = self[chunk]
+        for chunk, word, run in signed:
             self[chunk] = self[word] + runs[run]
 
     def of(self, texts: list[str], end_id: int) -> Iterator[bytes]:
@@ -81,10 +92,13 @@ class IdBytes(dict):
         for at in range(0, len(texts), 64):
             block = [CHUNKS.findall(text) if MORE_SPACE.search(text) else text.split() for text in texts[at : at + 64]]
             found = [list(map(self.get, chunks)) for chunks in block]
-            if fresh := {c for chunks, ids in zip(block, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}:
-                self.learn(fresh)
-            for chunks, ids in zip(block, found, strict=True):
-                yield b"".join(map(self.__getitem__, chunks) if None in ids else ids) + end
+            fresh = [[k for k, x in enumerate(ids) if x is None] for ids in found]
+            if any(fresh):
+                self.learn({chunks[k] for chunks, places in zip(block, fresh, strict=True) for k in places})
+            for chunks, ids, places in zip(block, found, fresh, strict=True):
+                for k in places:
+                    ids[k] = self[chunks[k]]
+                yield b"".join(ids) + end
 
 
 @functools.lru_cache(maxsize=2)
