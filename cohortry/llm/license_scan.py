@@ -107,11 +107,17 @@ class _Class:
         self.a = rng.integers(1, 1 << 63, self.bands, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, self.bands, np.uint64)
         self.lookup: dict[tuple[int, int], list[int]] = {}
-        hashes = _Hashes()
+        hashes, keys = _Hashes(), set()
         for k, w in members:
             own = shingle_hashes(np.array([hashes[x] for x in w], np.uint64), width)
             for band in range(self.bands):
-                self.lookup.setdefault((band, int(self._mixed(own, band).min())), []).append(k)
+                mixed = self._mixed(own, band)
+                self.lookup.setdefault((band, int(mixed.min())), []).append(k)
+                keys.add(int(own[mixed.argmin()]))
+        #: Shingles that are a template's least in some band. Mixing is one to one, so a window without any meets no template.
+        self.keys = np.array(sorted(keys), np.uint64)
+        self.tops = np.zeros(1 << 16, bool)
+        self.tops[(self.keys >> np.uint64(48)).astype(np.int64)] = True
         self.values = [np.array(sorted(v for b, v in self.lookup if b == band), np.uint64) for band in range(self.bands)]
 
     def _mixed(self, hashes: np.ndarray, band: int) -> np.ndarray:
@@ -119,23 +125,35 @@ class _Class:
         return x ^ (x >> np.uint64(31))
 
     def candidates(self, shingles: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, window, template) that share a band. shingles: those of all texts; sizes: how many each text has."""
+        """(text, window, template) that share a band. shingles: those of all texts; sizes: how many each text has.
+
+        Bands are computed for the windows that hold one of keys; no other window can share one.
+        """
         found: set[tuple[int, int, int]] = set()
-        blocks = -(-sizes // self.block)
-        if not len(shingles):
+        near = np.flatnonzero(self.tops[(shingles >> np.uint64(48)).astype(np.int64)])
+        near = near[np.isin(shingles[near], self.keys)]
+        if not len(near):
             return found
-        first = np.cumsum(blocks) - blocks
-        text = np.repeat(np.arange(len(sizes)), blocks)
-        nth = np.arange(blocks.sum()) - first[text]
-        starts = (np.cumsum(sizes) - sizes)[text] + nth * self.block
-        heads = np.flatnonzero(nth <= np.maximum(blocks[text] - 3, 0))
-        last = (first + blocks - 1)[text[heads]]
-        second, third = np.minimum(heads + 1, last), np.minimum(heads + 2, last)
+        blocks, ends = -(-sizes // self.block), np.cumsum(sizes)
+        begin, first, behind = ends - sizes, np.cumsum(blocks) - blocks, np.cumsum(blocks)
+        text = np.searchsorted(ends, near, side="right")
+        nth = (near - begin[text]) // self.block
+        windows = [(first[text] + h)[(h >= 0) & (h <= np.maximum(blocks[text] - 3, 0))] for h in (nth, nth - 1, nth - 2)]
+        windows = np.unique(np.concatenate(windows))
+        text = np.searchsorted(behind, windows, side="right")
+        last = behind[text] - 1
+        used, place = np.unique(np.stack([windows, np.minimum(windows + 1, last), np.minimum(windows + 2, last)]), return_inverse=True)
+        place = place.reshape(3, -1)
+        owner = np.searchsorted(behind, used, side="right")
+        offset = (used - first[owner]) * self.block
+        held = np.minimum(self.block, sizes[owner] - offset)
+        starts = np.cumsum(held) - held
+        held_shingles = shingles[np.arange(held.sum()) + np.repeat(begin[owner] + offset - starts, held)]
+        nth = windows - first[text]
         for band in range(self.bands):
-            low = np.minimum.reduceat(self._mixed(shingles, band), starts)
-            low = np.minimum(np.minimum(low[heads], low[second]), low[third])
+            low = np.minimum.reduceat(self._mixed(held_shingles, band), starts)[place].min(axis=0)
             for value in self.values[band]:
-                for at in heads[low == value]:
+                for at in np.flatnonzero(low == value):
                     found.update((int(text[at]), int(nth[at]), k) for k in self.lookup[band, int(value)])
         return found
 
