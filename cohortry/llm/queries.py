@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import bpe_count, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, toxicity, url_filter, warc
+from cohortry.llm import bpe_count, conversation_repair, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_packing": packing.op10_packing,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
 }
 
-ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE, **decontaminate.ORACLE}
+ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE, **decontaminate.ORACLE, **conversation_repair.ORACLE}
