@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortry.llm import bpe_count, conversation_repair, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, toxicity, url_filter, warc
+from cohortry.llm import bpe_count, chosen_path, conversation_repair, decontaminate, exact_dedup, license_scan, lm_score, packing, simhash, toxicity, url_filter, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_packing": packing.op10_packing,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_minhash_near_dedup": chosen_path.op13_minhash_near_dedup,
 }
 
 ORACLES = {**warc.ORACLE, **exact_dedup.ORACLE, **decontaminate.ORACLE, **conversation_repair.ORACLE}
