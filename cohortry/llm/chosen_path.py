@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from cohortry.llm.common import FILE, LOWER, ROW, arrow_map, table, with_row_keys, written
 from cohortry.llm.graph import components
 
-TOKENS, LEVEL_TOKENS, SKETCH = 128, 16, 64
+TOKENS, LEVEL_TOKENS = 128, 16
+#: Bytes of a sketch: the low bytes of all tokens.
+SKETCH = TOKENS
 _RANDOM = np.random.default_rng(42)
 _TIMES, _PLUS = _RANDOM.integers(1, 1 << 63, TOKENS, np.uint64) * np.uint64(2) + np.uint64(1), _RANDOM.integers(0, 1 << 63, TOKENS, np.uint64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -49,7 +51,7 @@ def hashes_of(text: str | None) -> np.ndarray:
 
 
 def tokens_of(hashes: np.ndarray) -> bytes:
-    """TOKENS minwise tokens of a set that isn't empty, two bytes each: all low bytes, of which the first SKETCH are a sketch, then all high ones."""
+    """TOKENS minwise tokens of a set that isn't empty, two bytes each: all low bytes, which are a sketch, then all high ones."""
     low = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(low, (hashes[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=low)
@@ -98,7 +100,7 @@ def branched(rows: DataFrame, level: int, branches: int) -> DataFrame:
 
         return run
 
-    return arrow_map(rows.select("node", "rec", "tokens"), make, "node long, rec long").distinct()
+    return arrow_map(rows.select("node", "rec", "tokens"), make, "node long, rec long")
 
 
 def _groups(keys: int, work: Callable) -> Callable:
@@ -135,59 +137,184 @@ def _groups(keys: int, work: Callable) -> Callable:
     return run
 
 
-def compared(rows: DataFrame, keys: list[str], every: bool, least_percent: int, least_matches: int) -> DataFrame:
-    """Pairs (a, b) of rows (keys, rec, n, sketch, comp, side) that meet under equal keys and may be similar, of different comp.
+def _near(rec, n, sketch, comp, side, least_percent, least_matches):
+    """(i, j, agree) of places i > j that may be similar and are of different comp, some 256 places i at a time.
 
-    side 0 meets side 1 (and 1 only), 2 meets all. Sizes must allow the similarity, and sketches agree in least_matches places.
-    every: all pairs; else for each row only the best partner of a lower place, so that pairs form a forest. A task
-    holds one group of equal keys.
+    Side 0 meets side 1, 2 meets all. Sizes must allow the similarity, and sketches agree in least_matches places.
+    """
+    for at in range(0, len(rec), 256):
+        stop = min(at + 256, len(rec))
+        low, high = np.minimum(n[at:stop, None], n[None, :stop]), np.maximum(n[at:stop, None], n[None, :stop])
+        fine = (100 * low >= least_percent * high) & (comp[at:stop, None] != comp[None, :stop]) & (np.arange(at, stop)[:, None] > np.arange(stop)[None, :])
+        fine &= (side[at:stop, None] == 2) | (side[None, :stop] == 2) | (side[at:stop, None] != side[None, :stop])
+        i, j = np.nonzero(fine)
+        i += at
+        agree = np.concatenate([(sketch[i[k : k + 65536]] == sketch[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, int)
+        keep = agree >= least_matches
+        yield i[keep], j[keep], agree[keep]
+
+
+def _sorted_columns(columns):
+    """rec, n, sketch, comp, side as arrays in order of side and rec, so that those of side 0 have the lowest places; and that order."""
+    rec, n, comp, side = (columns[k].to_numpy() for k in (0, 1, 3, 4))
+    sketch = np.frombuffer(b"".join(columns[2].to_pylist()), np.uint8).reshape(-1, SKETCH)
+    order = np.lexsort((rec, side == 1))
+    return (rec[order], n[order], sketch[order], comp[order], side[order]), order
+
+
+def best_partners(rows: DataFrame, keys: list[str], least_percent: int, least_matches: int) -> DataFrame:
+    """Pairs (a, b) of rows (keys, rec, n, sketch, comp, side) that meet under equal keys: each row with its best candidate.
+
+    That is the best of a lower place, or where it has none of a higher one, so no row that has candidates is without a pair,
+    and there are no more pairs than rows. A task holds one group of equal keys.
     """
 
     def work(columns):
-        rec, n, comp, side = (columns[k].to_numpy() for k in (0, 1, 3, 4))
-        if len(rec) < 2 or (comp == comp[0]).all():
+        if len(columns[0]) < 2:
             return None
-        flat = columns[2]
-        sketch = np.frombuffer(b"".join(flat.to_pylist()), np.uint8).reshape(-1, SKETCH)
-        # Sides first, so that those of side 0 have the lowest places.
-        order = np.lexsort((rec, side == 1))
-        rec, n, comp, side, sketch = rec[order], n[order], comp[order], side[order], sketch[order]
+        (rec, n, sketch, comp, side), _ = _sorted_columns(columns)
         out_a, out_b = [], []
-        for at in range(0, len(rec), 256):
-            # Rows at.. as the later partner, all before them as the earlier one.
-            stop = min(at + 256, len(rec))
-            low, high = np.minimum(n[at:stop, None], n[None, :stop]), np.maximum(n[at:stop, None], n[None, :stop])
-            fine = (100 * low >= least_percent * high) & (comp[at:stop, None] != comp[None, :stop]) & (np.arange(at, stop)[:, None] > np.arange(stop)[None, :])
-            fine &= (side[at:stop, None] == 2) | (side[None, :stop] == 2) | (side[at:stop, None] != side[None, :stop])
-            i, j = np.nonzero(fine)
-            agree = np.concatenate([(sketch[at + i[k : k + 65536]] == sketch[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)]) if len(i) else np.zeros(0, int)
-            keep = agree >= least_matches
-            i, j, agree = i[keep], j[keep], agree[keep]
-            if not every and len(i):
+        earlier, score, partner = np.zeros(len(rec), bool), np.zeros(len(rec), np.int64), np.zeros(len(rec), np.int64)
+        for i, j, agree in _near(rec, n, sketch, comp, side, least_percent, least_matches):
+            if len(i):
+                earlier[i] = True
+                best = np.lexsort((-agree, j))
+                best = best[np.r_[True, np.diff(j[best]) > 0]]
+                best = best[agree[best] > score[j[best]]]
+                score[j[best]], partner[j[best]] = agree[best], i[best]
                 best = np.lexsort((j, -agree, i))
                 best = best[np.r_[True, np.diff(i[best]) > 0]]
-                i, j = i[best], j[best]
-            out_a.append(rec[j])
-            out_b.append(rec[at + i])
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
+                out_a.append(rec[j[best]])
+                out_b.append(rec[i[best]])
+        only_later = np.flatnonzero((score > 0) & ~earlier)
+        a, b = np.concatenate([*out_a, rec[only_later]]), np.concatenate([*out_b, rec[partner[only_later]]])
         return (np.minimum(a, b), np.maximum(a, b)) if len(a) else None
 
     dealt = rows.select(*keys, "rec", "n", "sketch", "comp", "side").repartition(*keys).sortWithinPartitions(*keys)
     return arrow_map(dealt, lambda: _groups(len(keys), work), "a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, places: DataFrame, pairs: DataFrame, least_percent: int, text: str, salts: int = 256, most_bits: int = 1 << 28) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar, from the texts at places (rec, file, row); written.
+KEYS = ["node", "i", "j"]
+
+
+def _open_pairs(columns, least_percent, least_matches):
+    """Candidates (i, j, agree) of one group, but for those that share a node of a lower number, where they are candidates as well."""
+    arrays, order = _sorted_columns(columns)
+    nodes = columns[5].take(pa.array(order))
+    own = columns[6].to_numpy()[order]
+    width = max(1, int(pa.compute.max(pa.compute.list_value_length(nodes)).as_py() or 0))
+    lower = np.zeros((len(order), width), np.int64)
+    for k, (listed, at) in enumerate(zip(nodes.to_pylist(), own, strict=True)):
+        kept = [x for x in listed if x < at]
+        lower[k, : len(kept)] = kept
+    found = []
+    for i, j, agree in _near(*arrays, least_percent, least_matches):
+        if len(i):
+            again = np.zeros(len(i), bool)
+            for c in range(width):
+                again |= ((lower[i] == lower[j][:, c : c + 1]) & (lower[j][:, c : c + 1] != 0)).any(axis=1)
+            found.append((i[~again], j[~again], agree[~again]))
+    i, j, agree = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int),) * 3
+    return arrays, order, i, j, agree
+
+
+def other_links(docs: DataFrame, places: DataFrame, meetings: DataFrame, least_percent: int, least_matches: int, text: str) -> DataFrame:
+    """Confirmed pairs (a, b) of different comp among meetings (KEYS, rec, n, sketch, comp, side); written.
+
+    Candidates aren't rows: each group first names the rows that have any, these get their texts, and the group confirms its
+    candidates on the full sets, the likeliest first, without those that are linked through others by then. Two rows
+    that meet in several nodes are candidates in the lowest one only.
+    """
+    ids = meetings.filter("side = 2 and i = j").groupBy("rec").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+    whole = written(meetings.join(ids.withColumnRenamed("rec", "listed"), F.col("rec") == F.col("listed"), "left").drop("listed").withColumn("nodes", F.when((F.col("side") == 2) & (F.col("i") == F.col("j")), F.col("nodes")).otherwise(F.array().cast("array<long>"))))
+    columns = ["rec", "n", "sketch", "comp", "side", "nodes", F.col("node").alias("own")]
 
-    Only texts that a pair names travel: a bitmap of 16 bits for each, of most_bits (32 MB) at most, says which rows may be
-    meant, and a join which are. A text with many partners meets them under several salts, one copy for each in use.
+    def named(columns):
+        if len(columns[0]) < 2:
+            return None
+        (rec, *_), _, i, j, _ = _open_pairs(columns, least_percent, least_matches)
+        some = np.unique(np.r_[i, j])
+        if not len(some):
+            return None
+        return (*(np.full(len(some), columns[k][0].as_py()) for k in (6, 7, 8)), rec[some])
+
+    dealt = whole.select(*KEYS, *columns, F.col("i").alias("i2"), F.col("j").alias("j2")).repartition(*KEYS).sortWithinPartitions(*KEYS)
+    some = written(arrow_map(dealt, lambda: _groups(3, named), "node long, i int, j int, rec long"))
+    texts = _texts(docs, places, some.select("rec").distinct(), text)
+
+    def confirm(columns):
+        (rec, *_, comp, _), order, i, j, agree = _open_pairs(columns, least_percent, least_matches)
+        some, place = np.unique(np.r_[i, j], return_inverse=True)
+        if not len(some):
+            return None
+        x, y = place[: len(i)], place[len(i) :]
+        texts = [columns[7][int(order[k])].as_py() for k in some]
+        sets = [hashes_of(t) for t in texts]
+        size, both = np.array([len(h) for h in sets]), _shared(sets, x, y)
+        fine = 100 * both >= least_percent * (size[x] + size[y] - both)
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        out = []
+        for k in np.flatnonzero(fine)[np.argsort(-agree[fine], kind="stable")].tolist():
+            one, other = root(int(comp[i[k]])), root(int(comp[j[k]]))
+            if one != other and _similar(shingles_of(texts[x[k]]), shingles_of(texts[y[k]]), least_percent):
+                parent[one] = other
+                out.append((min(rec[i[k]], rec[j[k]]), max(rec[i[k]], rec[j[k]])))
+        return tuple(np.array(c) for c in zip(*out, strict=True)) if out else None
+
+    met = whole.join(some, [*KEYS, "rec"]).join(texts, "rec").select(*KEYS, *columns, "text").repartition(*KEYS).sortWithinPartitions(*KEYS)
+    return written(arrow_map(met, lambda: _groups(3, confirm), "a long, b long"))
+
+
+def _shared(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, rare: int = 32, columns: int = 4_096) -> np.ndarray:
+    """How many hashes sets x and y share, pair by pair; where pairs are many, for all at once.
+
+    Then frequent hashes are counted by products of incidence matrices, and rare ones by the pairs of sets that have them.
     """
-    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")))
-    named = written(pairs.select(F.col("a").alias("rec")).union(pairs.select("b")).distinct().join(places, "rec"))
+    m = len(sets)
+    _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, frequent = np.repeat(np.arange(m), [len(h) for h in sets]), int((often > rare).sum())
+    if 3e-5 * len(x) < m * m * (frequent / 1.5e10 + 4e-8) + 5e-9 * float((often[(often > 1) & (often <= rare)] ** 2).sum()):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    total, start = np.zeros(m * m, np.int64), np.cumsum(often) - often
+    for f in range(2, rare + 1):
+        own = row[start[often == f][:, None] + np.arange(f)]
+        if len(own):
+            a, b = np.triu_indices(f, 1)
+            # Rows of one hash are in rising order, so the lower one comes first.
+            total += np.bincount((own[:, a] * m + own[:, b]).ravel(), minlength=m * m)
+    many = often[at] > rare
+    row, at = row[many], (np.cumsum(often > rare) - 1)[at[many]]
+    both = np.zeros((m, m), np.float32)
+    for low in range(0, frequent, columns):
+        a, b = np.searchsorted(at, [low, low + columns])
+        block = np.zeros((m, min(columns, frequent - low)), np.float32)
+        block[row[a:b], at[a:b] - low] = 1
+        both += block @ block.T
+    return total[np.minimum(x, y) * m + np.maximum(x, y)] + both[x, y].astype(np.int64)
+
+
+def _similar(a: set, b: set, least_percent: int) -> bool:
+    both = len(a & b)
+    return both > 0 and 100 * both >= least_percent * (len(a) + len(b) - both)
+
+
+def _texts(docs: DataFrame, places: DataFrame, recs: DataFrame, text: str, most_bits: int = 1 << 28) -> DataFrame:
+    """(rec, text) of recs, from their places (rec, file, row); written.
+
+    Only these texts travel: a bitmap of 16 bits for each, of most_bits (32 MB) at most, says which rows may be meant, and a
+    join which are.
+    """
+    named = written(recs.join(places, "rec"))
     n = named.count()
-    if not n:
-        return pairs.select("a", "b")
-    bits = min(most_bits, max(1 << 16, 1 << int(np.ceil(np.log2(16 * n)))))
+    bits = min(most_bits, max(1 << 16, 1 << int(np.ceil(np.log2(16 * max(1, n))))))
     place = F.pmod(F.xxhash64(FILE, ROW), F.lit(bits)) + 1
     slices = named.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     whole = bytearray(-(-bits // 32768) * 4096)
@@ -200,13 +327,18 @@ def confirmed(docs: DataFrame, places: DataFrame, pairs: DataFrame, least_percen
             filled = np.frombuffer(shared.value, np.uint8)
             for batch in batches:
                 at = batch.column(0).to_numpy()
-                keep = pa.array((filled[at >> 3] >> (at & 7) & 1).astype(bool))
-                yield tuple(batch.filter(keep).columns[1:])
+                yield tuple(batch.filter(pa.array((filled[at >> 3] >> (at & 7) & 1).astype(bool))).columns[1:])
 
         return run
 
     maybe = arrow_map(docs.select((place - 1).alias("at"), FILE, ROW, F.col(text)), sifted, f"`{FILE}` long, `{ROW}` long, text string")
-    texts = written(maybe.join(named, [FILE, ROW]).select("rec", "text"))
+    return written(maybe.join(named, [FILE, ROW]).select("rec", "text"))
+
+
+def confirmed(docs: DataFrame, places: DataFrame, pairs: DataFrame, least_percent: int, text: str, salts: int = 256) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar; written. A text with many partners meets them under several salts, one copy for each in use."""
+    pairs = written(pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")))
+    texts = _texts(docs, places, pairs.select(F.col("a").alias("rec")).union(pairs.select("b")).distinct(), text)
     lower = pairs.select("a", "salt").distinct().join(texts.select(F.col("rec").alias("a"), F.col("text").alias("left")), "a")
     upper = pairs.join(texts.select(F.col("rec").alias("b"), F.col("text").alias("right")), "b")
     met = upper.join(lower, ["a", "salt"]).select("a", "b", "left", "right")
@@ -219,9 +351,7 @@ def confirmed(docs: DataFrame, places: DataFrame, pairs: DataFrame, least_percen
                 for x, y, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if x != at:
                         at, own = x, shingles_of(left)
-                    other = shingles_of(right)
-                    both = len(own & other)
-                    if both and 100 * both >= least_percent * (len(own) + len(other) - both):
+                    if _similar(own, shingles_of(right), least_percent):
                         a.append(x)
                         b.append(y)
                 yield a, b
@@ -238,15 +368,15 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "known"), F.col("rec") == F.col("known"), "left").withColumn("comp", F.coalesce("root", "rec")).drop("known", "root")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least_percent: int = 80, trees: int = 3, branches: int = 2, small: int = 256, pivots: int = 8, most_levels: int = 16, least_matches: int = 36) -> DataFrame:
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least_percent: int = 80, trees: int = 4, branches: int = 2, small: int = 512, pivots: int = 8, few: int = 2_048, most_levels: int = 16, least_matches: int = 82) -> DataFrame:
     """One row per row of docs: ident, n, component_id (smallest key reachable by links).
 
     With similarity s, a pair of documents is lost by a tree with a probability below q, where q = (1 - s + s * q) ** branches;
-    for s = 0.8 and two branches q = 1/16, so three trees find all but one in 4,096 of the pairs just at the
-    bound, and more of those above it. The sketch of 64 bytes loses about one in a million of them.
+    for s = 0.8 and two branches q = 1/16, so four trees find all but one in 65,536 of the pairs just at the
+    bound, and more of those above it. The sketch of 128 bytes loses about two in a million of them.
 
     Equal sets are one record. A node of more than `small` records first meets a few pivots of its own; when all its
-    records but `small` at most are then known to be linked with each other, these few are compared with all of it, and
+    records but `few` at most are then known to be linked with each other, these few are compared with all of it, and
     it's done. So a large group of near copies costs one round, and pairs within what is known to be linked are no work.
     Nodes that are still large after most_levels levels are compared in blocks.
     """
@@ -272,16 +402,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
         # Pivots by the least hash of each of `pivots` shares of a node.
         picked = large.groupBy("node", F.pmod(F.xxhash64("rec", F.lit(depth)), F.lit(pivots)).alias("share")).agg(F.min(F.struct(F.xxhash64("rec", "node").alias("h"), "rec", "size", "n", "sketch")).alias("p"))
         met = _met(large, picked.select("node", "p.rec", "p.size", "p.n", "p.sketch"), small)
-        found = confirmed(docs, places, compared(_labelled(met, comps), ["node", "i"], False, least_percent, least_matches), least_percent, text)
+        found = confirmed(docs, places, best_partners(_labelled(met, comps), ["node", "i"], least_percent, least_matches), least_percent, text)
         links.append(found)
         comps = written(components(reduce(DataFrame.union, links)))
         known = written(_labelled(large, comps))
         shares = known.groupBy("node", "comp").agg(F.count("*").alias("m"))
         main = written(shares.groupBy("node").agg(F.max(F.struct("m", "comp")).alias("x"), F.sum("m").alias("all")).select(F.col("node").alias("main_node"), F.col("x.comp").alias("main"), (F.col("all") - F.col("x.m")).alias("others")))
         open_ones = written(known.join(main, F.col("node") == F.col("main_node")).drop("main_node").filter("others > 0"))
-        few = F.col("others") <= small
-        probes.append(written(_met(open_ones.filter(few), open_ones.filter(few & (F.col("comp") != F.col("main"))), small).select("node", "rec", "i", F.lit(0).alias("j"), "side")))
-        going = open_ones.filter(~few)
+        settled = F.col("others") <= few
+        probes.append(written(_met(open_ones.filter(settled), open_ones.filter(settled & (F.col("comp") != F.col("main"))), small).select("node", "rec", "i", F.lit(0).alias("j"), "side")))
+        going = open_ones.filter(~settled)
         if depth == most_levels:
             # What is left meets in blocks, every two of them.
             blocks = F.ceil(F.col("size") / small).cast("int")
@@ -293,14 +423,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
             level = branched(going.select("node", "rec").join(sets.select("rec", "tokens"), "rec"), depth, branches)
 
     meetings = reduce(DataFrame.unionByName, leaves + probes)
-    for every in (False, True):
-        # First the best partner of each, which links most; then all pairs of what isn't known to be linked.
-        if every and comps is not None:
-            meetings = meetings.join(named.select(F.col("rec").alias("named_rec")), F.col("rec") == F.col("named_rec"), "left_semi")
-        pairs = written(compared(_labelled(meetings.join(brief, "rec"), comps), ["node", "i", "j"], every, least_percent, least_matches))
-        named = written(pairs.select(F.col("a").alias("rec")).union(pairs.select("b")).distinct())
-        links.append(confirmed(docs, places, pairs, least_percent, text))
-        comps = written(components(reduce(DataFrame.union, links)))
+    # First the best partner of each, which links most; then all candidates of what isn't known to be linked.
+    pairs = written(best_partners(_labelled(meetings.join(brief, "rec"), comps), KEYS, least_percent, least_matches))
+    links.append(confirmed(docs, places, pairs, least_percent, text))
+    comps = written(components(reduce(DataFrame.union, links)))
+    named = pairs.select(F.col("a").alias("named_rec")).union(pairs.select("b")).distinct()
+    left = _labelled(meetings.join(named, F.col("rec") == F.col("named_rec"), "left_semi").join(brief, "rec"), comps)
+    links.append(other_links(docs, places, left, least_percent, least_matches, text))
+    comps = written(components(reduce(DataFrame.union, links)))
 
     lowest = rows.groupBy("rec").agg(F.min("ident").alias("low"))
     grouped = written(_labelled(lowest, comps))

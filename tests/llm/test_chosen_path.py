@@ -51,7 +51,7 @@ def corpus(n, seed, bases=12, pool=60):
     return out
 
 
-@pytest.mark.parametrize(("how", "n"), [({}, 300), ({"small": 25, "pivots": 2}, 300), ({"small": 5, "pivots": 1, "most_levels": 1}, 150)])
+@pytest.mark.parametrize(("how", "n"), [({}, 300), ({"small": 25, "pivots": 2, "few": 25}, 300), ({"small": 5, "pivots": 1, "few": 5, "most_levels": 1}, 150)])
 def test_components_equal_all_pairs(spark, how, n):
     texts = corpus(n, 1)
     ids = random.Random(2).sample(range(10_000), n)
@@ -96,3 +96,11 @@ def test_tokens_agree_as_often_as_sets_are_similar():
         a, b = (np.frombuffer(chosen_path.tokens_of(s), np.uint8)[: chosen_path.SKETCH] for s in (x[:160], x[20:]))
         agree.append((a == b).mean())
     assert abs(np.mean(agree) - 140 / 180) < 0.03
+
+
+def test_shared_hashes_are_counted_alike():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, 30, np.uint64) if k % 2 else rng.integers(0, 4_000, 300, np.uint64)) for k in range(120)]
+    x, y = np.triu_indices(120, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert chosen_path._shared(sets, x, y).tolist() == want and chosen_path._shared(sets, y[:3], x[:3]).tolist() == want[:3]
