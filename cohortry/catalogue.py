@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortry.plans import cohorts, composites, images, inference, networks, trees, verbs
+from cohortry.plans import cohorts, composites, images, inference, networks, proportions, trees, verbs
 
-_REGISTERS = [verbs.register, images.register, inference.register, trees.register, networks.register, cohorts.register, composites.register]
+_REGISTERS = [verbs.register, images.register, inference.register, trees.register, networks.register, cohorts.register, composites.register, proportions.register]
 
 QUERIES = {name: f for r in _REGISTERS for name, f in r.queries.items()}
 ORACLES = {name: sql for r in _REGISTERS for name, sql in r.oracles.items()}

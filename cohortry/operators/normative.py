@@ -48,13 +48,14 @@ def _designed(rows: DataFrame, x: str, sex: str, levels: list[str], df: int) ->
 def fitted_models(rows: DataFrame, place: str, size: int) -> DataFrame:
     """(place, beta, inverse, scale, n) by least squares of value on the array __x, from sums per place: no rows are gathered.
 
-    inverse is that of the cross products, row by row; scale is the residual standard error times the t quantile of a
+    Values count from the column centre, their place's mean, so that a mean that is large against the spread costs no digits. inverse is that of the cross products, row by row; scale is the residual standard error times the t quantile of a
     one-sigma interval. Null where the sums are singular or no degree of freedom is left.
     """
     pairs = [(a, b) for a in range(size) for b in range(a, size)]
     sums = [F.sum(F.col("__x")[a] * F.col("__x")[b]).alias(f"s{a}_{b}") for a, b in pairs]
-    sums += [F.sum(F.col("__x")[a] * F.col("value")).alias(f"y{a}") for a in range(size)]
-    table = rows.filter(F.col("value").isNotNull() & F.forall("__x", lambda v: v.isNotNull())).groupBy(place).agg(*sums, F.sum(F.col("value") * F.col("value")).alias("yy"), F.count("*").alias("n"))
+    value = F.col("value") - F.col("centre")
+    sums += [F.sum(F.col("__x")[a] * value).alias(f"y{a}") for a in range(size)]
+    table = rows.filter(F.col("value").isNotNull() & F.forall("__x", lambda v: v.isNotNull())).groupBy(place).agg(*sums, F.sum(value * value).alias("yy"), F.count("*").alias("n"))
     kind = dict(rows.dtypes)[place]
 
     def solve(batches):
@@ -85,7 +86,7 @@ def normative_model(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels
     """(models, knots) of value ~ sex + natural spline of x with df degrees of freedom, fitted per place on the rows where fit is true."""
     rows = batch_residuals(rows, at, batch) if batch else rows
     train = rows.filter(fit)
-    where = knots(train, at, x, df)
+    where = knots(train, at, x, df).join(train.groupBy(at).agg(F.avg("value").alias("centre")), at)
     return fitted_models(_designed(train.join(where, at), x, sex, levels, df), at, len(levels) + df), where
 
 
@@ -99,13 +100,13 @@ def spline_z(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels: list[
     size = len(levels) + df
     own = _designed((batch_residuals(rows, at, batch) if batch else rows).join(where, at, "left"), x, sex, levels, df).join(models, at, "left")
     lever = _dot(F.col("__x"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda a: _dot(F.slice("inverse", a * size + 1, F.lit(size)), F.col("__x"))))
-    z = F.try_divide(F.col("value") - _dot(F.col("__x"), F.col("beta")), F.col("scale") * F.sqrt(1 + lever))
-    return own.withColumn("z", z).drop("__x", "beta", "inverse", "scale", "n")
+    z = F.try_divide(F.col("value") - F.col("centre") - _dot(F.col("__x"), F.col("beta")), F.col("scale") * F.sqrt(1 + lever))
+    return own.withColumn("z", z).drop("__x", "beta", "inverse", "scale", "n", "centre")
 
 
 def normative_curves(rows: DataFrame, grid: list[tuple[float, str]], fit: str, at: str, x: str, sex: str, levels: list[str], df: int = 3, batch: str | None = None) -> DataFrame:
     """(place, x, sex, expected): the model's curve at each of the grid's pairs of x and sex."""
     models, where = normative_model(rows, fit, at, x, sex, levels, df, batch)
     points = where.withColumn("point", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(b).alias("sex")) for a, b in grid])))
-    points = _designed(points.select(at, "knots", F.col("point.x").alias(x), F.col("point.sex").alias(sex)), x, sex, levels, df)
-    return points.join(models.select(at, "beta"), at).select(at, x, sex, _dot(F.col("__x"), F.col("beta")).alias("expected"))
+    points = _designed(points.select(at, "knots", "centre", F.col("point.x").alias(x), F.col("point.sex").alias(sex)), x, sex, levels, df)
+    return points.join(models.select(at, "beta"), at).select(at, x, sex, (F.col("centre") + _dot(F.col("__x"), F.col("beta"))).alias("expected"))

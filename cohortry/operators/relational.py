@@ -94,6 +94,25 @@ def bh_adjusted(df: DataFrame, p: str, groups: list[str], out: str = "q", tie: l
     return df.withColumn("__raw", F.col(p) * n / F.row_number().over(up)).withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(down))).drop("__raw")
 
 
+def bh_over_all(df: DataFrame, p: str, out: str = "q", buckets: int = 256) -> DataFrame:
+    """bh_adjusted() over all rows at once, by ranges of p: no task holds more than a range of distinct values.
+
+    Equal values are counted and have one result. The minimum over higher values is taken within each range, and over the
+    least ones of the ranges above. Null values count for nothing and stay null.
+    """
+    counted = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    total = counted.agg(F.sum("__n").alias("__total"))
+    raw = below_sums(counted, "__p", ["__n"], buckets=buckets).join(F.broadcast(total)).withColumn("__raw", F.col("__p") * F.col("__total") / (F.col("below___n") + F.col("__n")))
+    cuts = counted.agg(F.percentile_approx("__p", F.array(*[F.lit(k / buckets) for k in range(1, buckets)]), F.lit(10_000)).alias("__cuts"))
+    placed = raw.join(F.broadcast(cuts)).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__p")))).drop("__cuts")
+    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    least = placed.groupBy("__range").agg(F.min("__raw").alias("__least")).select("__range", F.min("__least").over(above).alias("__above"))
+    within = Window.partitionBy("__range").orderBy(F.desc("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    solved = placed.withColumn("__own", F.min("__raw").over(within)).join(F.broadcast(least), "__range")
+    solved = solved.select(F.col("__p").alias("__key"), F.least(F.lit(1.0), "__own", "__above").alias(out))
+    return df.join(solved, F.col(p) == F.col("__key"), "left").drop("__key")
+
+
 def latest_nonempty(df: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """Per key its latest row with a value in any of columns; keys without one get nulls. Ties at the latest order stay."""
     filled = df.filter(functools.reduce(lambda x, y: x | y, [F.col(c).isNotNull() for c in columns]))

@@ -20,7 +20,8 @@ METRICS = {
     "cosine": lambda x, y: F.try_divide(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))),
     "euclidean": lambda x, y: F.sqrt(F.sum((x - y) * (x - y))),
     "manhattan": lambda x, y: F.sqrt(F.sum(F.abs(x - y))),
-    "kl": lambda x, y: F.sum(F.when((x > 0) & (y > 0), x * F.ln(x / y)).when(x != 0, F.lit(None))),
+    # Infinite where x has weight and y has none, or where a value is negative.
+    "kl": lambda x, y: F.sum(F.when((x > 0) & (y > 0), x * F.ln(x / y)).when((x == 0) & (y >= 0), 0.0).when(x.isNotNull() & y.isNotNull(), float("inf"))),
 }
 
 

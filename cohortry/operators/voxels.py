@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,3 +115,32 @@ def peaks_in_space(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     near = at.select("image", F.col("value").alias("other"), F.explode(steps).alias("d"), "x", "y", "z").select("image", "other", *[(F.col(c) + F.col(f"d.d{c}")).alias(c) for c in "xyz"])
     high = near.groupBy("image", "x", "y", "z").agg(F.max("other").alias("highest"))
     return at.join(high, ["image", "x", "y", "z"], "left").filter(F.col("highest").isNull() | (F.col("value") > F.col("highest"))).select("image", "voxel", "value")
+
+
+def _cell(m: Column, i: int, j: int) -> Column:
+    return m[4 * i + j]
+
+
+def composed(first: Column, then: Column) -> Column:
+    """The affine matrix (16 doubles, row by row) that applies `first` and then `then`."""
+    return F.array(*[functools.reduce(operator.add, [_cell(then, i, k) * _cell(first, k, j) for k in range(4)]) for i in range(4) for j in range(4)])
+
+
+def inverted(m: Column) -> Column:
+    """The inverse of an affine matrix whose last row is 0 0 0 1; null where it flattens space."""
+    a = [[_cell(m, i, j) for j in range(3)] for i in range(3)]
+
+    def minor(i, j):
+        (p, q), (r, s) = ([k for k in range(3) if k != x] for x in (i, j))
+        return (a[p][r] * a[q][s] - a[p][s] * a[q][r]) * (-1 if (i + j) % 2 else 1)
+
+    size = a[0][0] * minor(0, 0) + a[0][1] * minor(0, 1) + a[0][2] * minor(0, 2)
+    turned = [[minor(j, i) / F.nullif(size, F.lit(0.0)) for j in range(3)] for i in range(3)]
+    moved = [-(turned[i][0] * _cell(m, 0, 3) + turned[i][1] * _cell(m, 1, 3) + turned[i][2] * _cell(m, 2, 3)) for i in range(3)]
+    zero = F.lit(0.0)
+    return F.when(size != 0, F.array(*[x for i in range(3) for x in (*turned[i], moved[i])], zero, zero, zero, F.lit(1.0)))
+
+
+def transformed(points: DataFrame, matrix: Column) -> DataFrame:
+    """Coordinates x, y, z moved by an affine matrix, which may differ by row; other columns stay."""
+    return points.withColumn("__m", matrix).withColumns({w: _cell(F.col("__m"), i, 0) * F.col("x") + _cell(F.col("__m"), i, 1) * F.col("y") + _cell(F.col("__m"), i, 2) * F.col("z") + _cell(F.col("__m"), i, 3) for i, w in enumerate("xyz")}).drop("__m")

@@ -285,7 +285,7 @@ def label_expression(spark, sf):
 def voxel_significance(spark, sf):
     """Per voxel the one-sample t, its two-sided p with n degrees of freedom, and -log10 of the adjusted p."""
     t = V.one_sample_t(voxels(spark, sf)).withColumn("p", 2 * (1 - pt(F.abs("t"), F.col("n").cast("double"))))
-    q = R.bh_adjusted(t.withColumn("all", F.lit(0)), "p", ["all"], "q", ["voxel"]).drop("all")
+    q = R.bh_over_all(t, "p", "q")
     return rounded(q.withColumn("nlq", N.negative_log(F.col("q"))), "mean", "t", "p", "q", "nlq", places=4)
 
 
