@@ -163,10 +163,9 @@ def _sorted_columns(columns):
 
 
 def best_partners(rows: DataFrame, keys: list[str], least_percent: int, least_matches: int) -> DataFrame:
-    """Pairs (a, b) of rows (keys, rec, n, sketch, comp, side) that meet under equal keys: each row with its best candidate.
+    """Pairs (a, b) of rows (keys, rec, n, sketch, comp, side) that meet under equal keys: each row with its best candidate of a lower place.
 
-    That is the best of a lower place, or where it has none of a higher one, so no row that has candidates is without a pair,
-    and there are no more pairs than rows. A task holds one group of equal keys.
+    There are fewer pairs than rows, and they form a forest. A task holds one group of equal keys.
     """
 
     def work(columns):
@@ -174,21 +173,16 @@ def best_partners(rows: DataFrame, keys: list[str], least_percent: int, least_ma
             return None
         (rec, n, sketch, comp, side), _ = _sorted_columns(columns)
         out_a, out_b = [], []
-        earlier, score, partner = np.zeros(len(rec), bool), np.zeros(len(rec), np.int64), np.zeros(len(rec), np.int64)
         for i, j, agree in _near(rec, n, sketch, comp, side, least_percent, least_matches):
             if len(i):
-                earlier[i] = True
-                best = np.lexsort((-agree, j))
-                best = best[np.r_[True, np.diff(j[best]) > 0]]
-                best = best[agree[best] > score[j[best]]]
-                score[j[best]], partner[j[best]] = agree[best], i[best]
                 best = np.lexsort((j, -agree, i))
                 best = best[np.r_[True, np.diff(i[best]) > 0]]
                 out_a.append(rec[j[best]])
                 out_b.append(rec[i[best]])
-        only_later = np.flatnonzero((score > 0) & ~earlier)
-        a, b = np.concatenate([*out_a, rec[only_later]]), np.concatenate([*out_b, rec[partner[only_later]]])
-        return (np.minimum(a, b), np.maximum(a, b)) if len(a) else None
+        if not out_a:
+            return None
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        return np.minimum(a, b), np.maximum(a, b)
 
     dealt = rows.select(*keys, "rec", "n", "sketch", "comp", "side").repartition(*keys).sortWithinPartitions(*keys)
     return arrow_map(dealt, lambda: _groups(len(keys), work), "a long, b long").distinct()
@@ -218,15 +212,28 @@ def _open_pairs(columns, least_percent, least_matches):
     return arrays, order, i, j, agree
 
 
-def other_links(docs: DataFrame, places: DataFrame, meetings: DataFrame, least_percent: int, least_matches: int, text: str) -> DataFrame:
-    """Confirmed pairs (a, b) of different comp among meetings (KEYS, rec, n, sketch, comp, side); written.
+def node_links(docs: DataFrame, places: DataFrame, meetings: DataFrame, brief: DataFrame, comps: DataFrame | None, least_percent: int, least_matches: int, text: str) -> DataFrame:
+    """Confirmed pairs (a, b) that link all similar rows of meetings (KEYS, rec, side) not known to be linked; written.
 
-    Candidates aren't rows: each group first names the rows that have any, these get their texts, and the group confirms its
-    candidates on the full sets, the likeliest first, without those that are linked through others by then. Two rows
-    that meet in several nodes are candidates in the lowest one only.
+    Candidates aren't rows: each group first names those that have any. These learn in which nodes they have been named, as two
+    rows that meet in several are candidates in the lowest one only; those still with candidates get their texts, and
+    the group confirms its candidates on the full sets, the likeliest first, without those linked through others by then.
     """
+
+    def any_named(columns):
+        if len(columns[0]) < 2:
+            return None
+        arrays, _ = _sorted_columns(columns)
+        found = [np.r_[i, j] for i, j, _ in _near(*arrays, least_percent, least_matches)]
+        some = np.unique(np.concatenate(found))
+        return (*(np.full(len(some), columns[k][0].as_py()) for k in (5, 6, 7)), arrays[0][some], arrays[4][some]) if len(some) else None
+
+    own_keys = [F.col("node").alias("node2"), F.col("i").alias("i2"), F.col("j").alias("j2")]
+    full = _labelled(meetings.join(brief, "rec"), comps).select(*KEYS, "rec", "n", "sketch", "comp", "side", *own_keys).repartition(*KEYS).sortWithinPartitions(*KEYS)
+    meetings = written(arrow_map(full, lambda: _groups(3, any_named), "node long, i int, j int, rec long, side int"))
     ids = meetings.filter("side = 2 and i = j").groupBy("rec").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    whole = written(meetings.join(ids.withColumnRenamed("rec", "listed"), F.col("rec") == F.col("listed"), "left").drop("listed").withColumn("nodes", F.when((F.col("side") == 2) & (F.col("i") == F.col("j")), F.col("nodes")).otherwise(F.array().cast("array<long>"))))
+    whole = _labelled(meetings.join(brief, "rec"), comps).join(ids.withColumnRenamed("rec", "listed"), F.col("rec") == F.col("listed"), "left").drop("listed")
+    whole = written(whole.withColumn("nodes", F.when((F.col("side") == 2) & (F.col("i") == F.col("j")), F.col("nodes")).otherwise(F.array().cast("array<long>"))))
     columns = ["rec", "n", "sketch", "comp", "side", "nodes", F.col("node").alias("own")]
 
     def named(columns):
@@ -368,7 +375,7 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "known"), F.col("rec") == F.col("known"), "left").withColumn("comp", F.coalesce("root", "rec")).drop("known", "root")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least_percent: int = 80, trees: int = 4, branches: int = 2, small: int = 512, pivots: int = 8, few: int = 2_048, most_levels: int = 16, least_matches: int = 82) -> DataFrame:
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", least_percent: int = 80, trees: int = 4, branches: int = 2, small: int = 512, pivots: int = 8, few: int = 4_096, most_levels: int = 16, least_matches: int = 82) -> DataFrame:
     """One row per row of docs: ident, n, component_id (smallest key reachable by links).
 
     With similarity s, a pair of documents is lost by a tree with a probability below q, where q = (1 - s + s * q) ** branches;
@@ -423,13 +430,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
             level = branched(going.select("node", "rec").join(sets.select("rec", "tokens"), "rec"), depth, branches)
 
     meetings = reduce(DataFrame.unionByName, leaves + probes)
-    # First the best partner of each, which links most; then all candidates of what isn't known to be linked.
-    pairs = written(best_partners(_labelled(meetings.join(brief, "rec"), comps), KEYS, least_percent, least_matches))
-    links.append(confirmed(docs, places, pairs, least_percent, text))
-    comps = written(components(reduce(DataFrame.union, links)))
-    named = pairs.select(F.col("a").alias("named_rec")).union(pairs.select("b")).distinct()
-    left = _labelled(meetings.join(named, F.col("rec") == F.col("named_rec"), "left_semi").join(brief, "rec"), comps)
-    links.append(other_links(docs, places, left, least_percent, least_matches, text))
+    links.append(node_links(docs, places, meetings, brief, comps, least_percent, least_matches, text))
     comps = written(components(reduce(DataFrame.union, links)))
 
     lowest = rows.groupBy("rec").agg(F.min("ident").alias("low"))
