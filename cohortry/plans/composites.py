@@ -78,10 +78,11 @@ def chi_squared_p(spark, sf):
     return rounded(t.withColumn("p", 1 - pchisq(F.col("chi2"), F.col("df").cast("double"))), "chi2", "p", places=4)
 
 
-@register("SELECT i AS voxel FROM range(64) r(i) WHERE i % 4 <> 0 ORDER BY i LIMIT 10")
+@register(f"WITH {VOXELS} SELECT voxel FROM voxels GROUP BY 1 HAVING avg(value) > 0 ORDER BY voxel LIMIT 10")
 def partial_mask(spark, sf):
-    mask = spark.range(64).select(F.col("id").alias("voxel"), F.when(F.col("id") % 4 == 0, 0.25).otherwise(1.0).alias("w"))
-    return V.partial_mask(mask, 10).select("voxel")
+    """The first ten voxels of those whose mean over all images is above zero."""
+    mask = voxels(spark, sf).groupBy("voxel").agg(F.avg("value").alias("w"))
+    return V.partial_mask(mask, 10, above=0.0).select("voxel")
 
 
 @register(f"WITH {VOXELS} SELECT image, count_if(abs(value) > 0.15) AS by_intensity, floor(0.5 * count_if(abs(value) > 1e-5))::BIGINT AS by_rank FROM voxels GROUP BY 1")
@@ -173,11 +174,11 @@ def gene_names(spark, sf):
     return N.gene_names(models, renames, overrides, models.filter("name LIKE 'Brand#12(1%'"))
 
 
-_MEMBERS = "m AS (SELECT DISTINCT c_mktsegment AS target, o_orderpriority || (o_custkey % 40) AS gene FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')"
+_MEMBERS = "m AS (SELECT DISTINCT c_mktsegment AS target, o_orderpriority || (o_custkey % 40) AS gene FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def _members(spark, sf):
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'P'").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return o.select(F.col("c_mktsegment").alias("target"), F.concat("o_orderpriority", (F.col("o_custkey") % 40).cast("string")).alias("gene"))
 
 
@@ -219,12 +220,12 @@ def neighbourhood_sizes(spark, sf):
     return rounded(R.ecdf_at(n, "n", grid, "size").select("size", F.col("share_le").alias("share")), "share")
 
 
-_SPACES = "e AS (SELECT s AS space, vec_id % 2 AS species, label AS region, i AS gene, avg(embedding[i + 16 * s]::DOUBLE) AS value FROM embeddings, range(0, 3) x(s), range(1, 17) g(i) GROUP BY ALL), c AS (SELECT h.space, h.region AS a, m.region AS b, corr(h.value, m.value) AS r FROM e h JOIN e m ON h.space = m.space AND h.gene = m.gene WHERE h.species = 0 AND m.species = 1 GROUP BY ALL)"
+_SPACES = "e AS (SELECT s AS space, vec_id % 2 AS species, label AS region, i AS gene, avg(embedding[i + 16 * s]::DOUBLE) AS value FROM embeddings, range(0, 4) x(s), range(1, 17) g(i) GROUP BY ALL), c AS (SELECT h.space, h.region AS a, m.region AS b, corr(h.value, m.value) AS r FROM e h JOIN e m ON h.space = m.space AND h.gene = m.gene WHERE h.species = 0 AND m.species = 1 GROUP BY ALL)"
 
 
 def _spaces(spark, sf):
     """Latent spaces of 16 genes each: mean values per space, species and region."""
-    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 2).alias("species"), F.col("label").alias("region"), F.posexplode("embedding").alias("at", "value")).filter("at < 48")
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 2).alias("species"), F.col("label").alias("region"), F.posexplode("embedding").alias("at", "value"))
     return e.groupBy(F.floor(F.col("at") / 16).alias("space"), "species", "region", (F.col("at") % 16).alias("gene")).agg(F.avg(F.col("value").cast("double")).alias("value"))
 
 
@@ -248,11 +249,11 @@ def region_similarity(spark, sf):
 _SAMPLES = "s AS (SELECT vec_id, label, round((embedding[1]::DOUBLE + 1) / 0.5)::INT AS i, embedding FROM embeddings)"
 
 
-@register(f"WITH {_SAMPLES} SELECT (i % 3)::INT AS mask, g AS gene, round(avg(embedding[g]::DOUBLE), 6) AS value FROM s, range(1, 9) x(g) GROUP BY ALL")
+@register(f"WITH {_SAMPLES} SELECT (i % 3)::INT AS mask, g AS gene, round(avg(embedding[g]::DOUBLE), 6) AS value FROM s, range(1, 65) x(g) GROUP BY ALL")
 def sample_signatures(spark, sf):
     """Samples are located in the voxels of a mask by their coordinate; expression is averaged per mask value and gene."""
     voxel = F.round((F.element_at("embedding", 1).cast("double") + 1) / 0.5).cast("int")
-    samples = table(spark, sf, "embeddings").select((voxel % 3).alias("mask"), F.posexplode(F.slice("embedding", 1, 8)).alias("g", "v"))
+    samples = table(spark, sf, "embeddings").select((voxel % 3).alias("mask"), F.posexplode("embedding").alias("g", "v"))
     return rounded(samples.groupBy("mask", (F.col("g").cast("long") + 1).alias("gene")).agg(F.avg(F.col("v").cast("double")).alias("value")), "value")
 
 
