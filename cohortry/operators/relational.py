@@ -128,7 +128,7 @@ def completeness_curve(long: DataFrame, subject: str, variable: str, value: str)
     """
     order = long.groupBy(variable).agg(F.count(value).alias("__have"))
     ranked = order.withColumn("__rank", F.row_number().over(Window.orderBy(F.desc("__have"), variable))).select(variable, "__rank")
-    first = long.join(F.broadcast(ranked), variable).groupBy(subject).agg(F.min(F.when(F.col(value).isNull(), F.col("__rank"))).alias("__first"))
+    first = long.join(ranked, variable).groupBy(subject).agg(F.min(F.when(F.col(value).isNull(), F.col("__rank"))).alias("__first"))
     stops = first.groupBy("__first").agg(F.count("*").alias("__n"))
     total = stops.agg(F.sum("__n").alias("__total"))
     grid = ranked.select(F.col("__rank").alias("n_variables"))

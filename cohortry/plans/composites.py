@@ -150,11 +150,11 @@ def pooled_empirical_p(spark, sf):
 _U = "(('0x' || left(md5(concat_ws('-', {0}, '{1}')), 8))::BIGINT + 0.5) / 4294967296.0"
 
 
-@register(f"WITH g AS (SELECT seed, delta, i AS id, v AS variable, i % 2 AS grp FROM range(1, 4) s(seed), (VALUES (0), (2)) d(delta), range(40) r(i), range(3) q(v)) SELECT seed, delta::INT AS delta, id, variable, round(grp * delta + sqrt(-2 * ln({_U.format('seed, delta, id, variable', 'r')})) * cos(2 * pi() * ({_U.format('seed, delta, id, variable', 'a')})), 6) AS value FROM g")
+@register(f"WITH g AS (SELECT seed, delta, i AS id, v AS variable, i % 2 AS grp FROM range(1, 4) s(seed), (VALUES (0), (2)) d(delta), (SELECT vec_id AS i FROM embeddings) r, range(3) q(v)) SELECT seed, delta::INT AS delta, id, variable, round(grp * delta + sqrt(-2 * ln({_U.format('seed, delta, id, variable', 'r')})) * cos(2 * pi() * ({_U.format('seed, delta, id, variable', 'a')})), 6) AS value FROM g")
 def simulated_clusters(spark, sf):
-    """Two Gaussian groups delta apart, over a grid of seeds, distances and variables."""
+    """Every image in one of two Gaussian groups delta apart, over a grid of seeds, distances and variables."""
     longs = lambda *v: F.array(*[F.lit(x).cast("long") for x in v])
-    grid = spark.range(40).withColumn("seed", F.explode(longs(1, 2, 3))).withColumn("delta", F.explode(F.array(F.lit(0), F.lit(2)))).withColumn("variable", F.explode(longs(0, 1, 2)))
+    grid = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")).withColumn("seed", F.explode(longs(1, 2, 3))).withColumn("delta", F.explode(F.array(F.lit(0), F.lit(2)))).withColumn("variable", F.explode(longs(0, 1, 2)))
     return rounded(grid.select("seed", "delta", "id", "variable", ((F.col("id") % 2) * F.col("delta") + P.normal("seed", "delta", "id", "variable")).alias("value")), "value")
 
 
