@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortry.operators import normative, proportions, relational, similarity, voxels
+from cohortry.operators import clustering, normative, proportions, relational, similarity, voxels
 
 
 def plain_p(b, n, c, m, points=4001):
@@ -133,3 +133,17 @@ def test_normative_z_does_not_move_with_the_mean(spark):
     table = spark.createDataFrame(rows, "id int, place int, age double, sex string, ctrl boolean, value double")
     near, far = ({r.id: r.z for r in normative.spline_z(t, "ctrl", "place", "age", "sex", ["F", "M"]).collect()} for t in (table, table.withColumn("value", F.col("value") + 1e8)))
     assert max(abs(near[k] - far[k]) for k in near) < 1e-6
+
+
+def test_within_squares_fall_along_a_merge_tree(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(c, 0.1, (6, 3)) for c in (0, 5, 20)]) + 1e6
+    rows = spark.createDataFrame([(i, v, float(x[i, v])) for i in range(18) for v in range(3)], "image long, voxel int, value double")
+    pairs = clustering.distances(rows).withColumn("analysis", F.lit(0).cast("long"))
+    labels = clustering.hierarchical(pairs, [1, 2, 3, 18])
+    got = {r.nk: (r.within, r.share) for r in clustering.within_squares(rows, labels).collect()}
+    for nk in got:
+        own = {r.image: r.k for r in labels.filter(F.col("nk") == nk).collect()}
+        groups = [x[[i for i in own if own[i] == k]] for k in set(own.values())]
+        assert got[nk][0] == pytest.approx(sum(((g - g.mean(axis=0)) ** 2).sum() for g in groups), abs=1e-6)
+    assert got[1][1] == pytest.approx(1.0) and got[18][0] == pytest.approx(0, abs=1e-9) and got[3][1] < 0.01 < got[2][1] < 0.2
