@@ -5,7 +5,10 @@ from __future__ import annotations
 import functools
 import itertools
 import operator
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +147,25 @@ def inverted(m: Column) -> Column:
 def transformed(points: DataFrame, matrix: Column) -> DataFrame:
     """Coordinates x, y, z moved by an affine matrix, which may differ by row; other columns stay."""
     return points.withColumn("__m", matrix).withColumns({w: _cell(F.col("__m"), i, 0) * F.col("x") + _cell(F.col("__m"), i, 1) * F.col("y") + _cell(F.col("__m"), i, 2) * F.col("z") + _cell(F.col("__m"), i, 3) for i, w in enumerate("xyz")}).drop("__m")
+
+
+def over_voxels(voxels: DataFrame, function: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, per_block: int = 4096) -> DataFrame:
+    """(voxel, then schema) of a vectorised user function over all images' values of each voxel.
+
+    function gets a matrix of images by voxels, NaN where an image lacks a voxel, and the sorted images, and returns an array per
+    column of schema, an entry per voxel. Voxels go to blocks of per_block neighbours by number, so a task holds images x per_block
+    values at a time, whatever the volume; the function sees each voxel whole and once, and results don't depend on per_block as long
+    as it treats voxels apart. Nulls are as if missing; a voxel twice in an image is an error.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        images, row = np.unique(pdf.image.to_numpy(), return_inverse=True)
+        places, column = np.unique(pdf.voxel.to_numpy(), return_inverse=True)
+        if len(np.unique(row * len(places) + column)) < len(pdf):
+            raise ValueError("an image has a voxel twice")
+        matrix = np.full((len(images), len(places)), np.nan)
+        matrix[row, column] = pdf.value.to_numpy(float)
+        return pd.DataFrame({"voxel": places} | function(matrix, images))
+
+    rows = voxels.select("image", "voxel", F.col("value").cast("double").alias("value"), F.floor(F.col("voxel") / per_block).alias("block"))
+    return rows.groupBy("block").applyInPandas(run, f"voxel {dict(voxels.dtypes)['voxel']}, {schema}")
