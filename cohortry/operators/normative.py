@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.functions.distributions import normal_below, t_quantile
+from cohortry.operators.resampling import uniform
 
 
 def batch_residuals(rows: DataFrame, at: str, batch: str, value: str = "value") -> DataFrame:
@@ -51,31 +52,41 @@ def fitted_models(rows: DataFrame, place: str, size: int) -> DataFrame:
     Values count from the column centre, their place's mean, so that a mean that is large against the spread costs no digits. inverse is that of the cross products, row by row; scale is the residual standard error times the t quantile of a
     one-sigma interval. Null where the sums are singular or no degree of freedom is left.
     """
-    pairs = [(a, b) for a in range(size) for b in range(a, size)]
-    sums = [F.sum(F.col("__x")[a] * F.col("__x")[b]).alias(f"s{a}_{b}") for a, b in pairs]
+    return _solved(_cross_products(rows, [place], size), [place], size)
+
+
+def _cross_products(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Sums of products of the columns of __x, of those with value less centre, and its square, per keys; partial aggregates, no rows are gathered."""
+    sums = [F.sum(F.col("__x")[a] * F.col("__x")[b]).alias(f"s{a}_{b}") for a in range(size) for b in range(a, size)]
     value = F.col("value") - F.col("centre")
     sums += [F.sum(F.col("__x")[a] * value).alias(f"y{a}") for a in range(size)]
-    table = rows.filter(F.col("value").isNotNull() & F.forall("__x", lambda v: v.isNotNull())).groupBy(place).agg(*sums, F.sum(value * value).alias("yy"), F.count("*").alias("n"))
-    kind = dict(rows.dtypes)[place]
+    return rows.filter(F.col("value").isNotNull() & F.forall("__x", lambda v: v.isNotNull())).groupBy(*keys).agg(*sums, F.sum(value * value).alias("yy"), F.count("*").alias("n"))
+
+
+def _solved(table: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, beta, inverse, scale, n) from sums."""
+    kinds = dict(table.dtypes)
 
     def solve(batches):
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
+                own = tuple(getattr(row, k) for k in keys)
                 m, y = np.zeros((size, size)), np.array([getattr(row, f"y{a}") for a in range(size)])
-                for a, b in pairs:
-                    m[a, b] = m[b, a] = getattr(row, f"s{a}_{b}")
+                for a in range(size):
+                    for b in range(a, size):
+                        m[a, b] = m[b, a] = getattr(row, f"s{a}_{b}")
                 free = row.n - size
                 if free < 1 or np.linalg.matrix_rank(m) < size:
-                    out.append((getattr(row, place), None, None, None, row.n))
+                    out.append((*own, None, None, None, row.n))
                     continue
                 inverse = np.linalg.inv(m)
                 beta = inverse @ y
                 scale = np.sqrt(max(row.yy - beta @ y, 0.0) / free) * float(t_quantile(normal_below(1.0), free))
-                out.append((getattr(row, place), beta.tolist(), inverse.ravel().tolist(), float(scale), row.n))
-            yield pd.DataFrame(out, columns=[place, "beta", "inverse", "scale", "n"])
+                out.append((*own, beta.tolist(), inverse.ravel().tolist(), float(scale), row.n))
+            yield pd.DataFrame(out, columns=[*keys, "beta", "inverse", "scale", "n"])
 
-    return table.mapInPandas(solve, f"`{place}` {kind}, beta array<double>, inverse array<double>, scale double, n long")
+    return table.mapInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", beta array<double>, inverse array<double>, scale double, n long")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -99,9 +110,13 @@ def spline_z(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels: list[
     models, where = normative_model(rows, fit, at, x, sex, levels, df, batch)
     size = len(levels) + df
     own = _designed((batch_residuals(rows, at, batch) if batch else rows).join(where, at, "left"), x, sex, levels, df).join(models, at, "left")
+    return own.withColumn("z", _z(size)).drop("__x", "beta", "inverse", "scale", "n", "centre")
+
+
+def _z(size: int) -> Column:
+    """z of a row that has its design and its model."""
     lever = _dot(F.col("__x"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda a: _dot(F.slice("inverse", a * size + 1, F.lit(size)), F.col("__x"))))
-    z = F.try_divide(F.col("value") - F.col("centre") - _dot(F.col("__x"), F.col("beta")), F.col("scale") * F.sqrt(1 + lever))
-    return own.withColumn("z", z).drop("__x", "beta", "inverse", "scale", "n", "centre")
+    return F.try_divide(F.col("value") - F.col("centre") - _dot(F.col("__x"), F.col("beta")), F.col("scale") * F.sqrt(1 + lever))
 
 
 def normative_curves(rows: DataFrame, grid: list[tuple[float, str]], fit: str, at: str, x: str, sex: str, levels: list[str], df: int = 3, batch: str | None = None) -> DataFrame:
@@ -110,3 +125,24 @@ def normative_curves(rows: DataFrame, grid: list[tuple[float, str]], fit: str, a
     points = where.withColumn("point", F.explode(F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(b).alias("sex")) for a, b in grid])))
     points = _designed(points.select(at, "knots", "centre", F.col("point.x").alias(x), F.col("point.sex").alias(sex)), x, sex, levels, df)
     return points.join(models.select(at, "beta"), at).select(at, x, sex, (F.col("centre") + _dot(F.col("__x"), F.col("beta"))).alias("expected"))
+
+
+def cross_validated_z(rows: DataFrame, fit: str, ident: str, at: str, x: str, sex: str, levels: list[str], seeds: int, share: float = 0.2, df: int = 3, batch: str | None = None) -> DataFrame:
+    """Held-out rows of the controls (where fit is true) with seed 1..seeds and z by the model of the seed's other controls.
+
+    A seed holds out the controls whose draw by ident and seed is below share, at all places alike. Models are down-dated: cross
+    products of all controls are summed once per place, those of a seed's held-out rows are taken off, and no seed reads the rest
+    again. Knots, centre and batch means are those of all controls and rows, so seeds share one design. z is null where a
+    model has no degree of freedom, or value, x or sex is null.
+    """
+    rows = batch_residuals(rows, at, batch) if batch else rows
+    train, size = rows.filter(fit), len(levels) + df
+    where = knots(train, at, x, df).join(train.groupBy(at).agg(F.avg("value").alias("centre")), at)
+    designed = _designed(train.join(where, at), x, sex, levels, df)
+    out_of = F.filter(F.sequence(F.lit(1), F.lit(seeds)), lambda s: uniform(F.col(ident), s) < share)
+    held = designed.withColumn("seed", F.explode(out_of))
+    whole, part = _cross_products(designed, [at], size), _cross_products(held, [at, "seed"], size)
+    sums = [c for c in whole.columns if c != at]
+    left = part.join(whole.select(at, *[F.col(c).alias(f"whole_{c}") for c in sums]), at)
+    models = _solved(left.select(at, "seed", *[(F.col(f"whole_{c}") - F.col(c)).alias(c) for c in sums]), [at, "seed"], size)
+    return held.join(models, [at, "seed"], "left").withColumn("z", _z(size)).drop("__x", "beta", "inverse", "scale", "n", "centre")

@@ -300,6 +300,13 @@ def normative_spline(spark, sf):
     return rounded(Z.spline_z(_norm_rows(spark, sf), "ctrl", "at", "x", "sex", ["F", "O"], 3, "batch").select("l_orderkey", "l_linenumber", "z"), "z", places=4)
 
 
+@register()
+def control_cross_validation(spark, sf):
+    """z of the controls that each of five seeds holds out, by models of its other controls."""
+    done = Z.cross_validated_z(_norm_rows(spark, sf), "ctrl", "l_orderkey", "at", "x", "sex", ["F", "O"], 5, batch="batch")
+    return rounded(done.select("seed", "l_orderkey", "l_linenumber", "z"), "z", places=4)
+
+
 @register()
 def normative_grid(spark, sf):
     """The fitted curves over a grid of ages for either sex."""

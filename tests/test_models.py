@@ -85,6 +85,31 @@ def test_spline_z_equals_least_squares(spark, batch):
                 assert e == pytest.approx(float((bspline_free_design([v], [g == "M"], knots) @ beta)[0]), abs=1e-7)
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e8])
+def test_cross_validated_z_equals_refitting(spark, shift):
+    rng = np.random.default_rng(4)
+    n = 90
+    x, sex, ctrl = rng.uniform(5, 30, n), rng.integers(0, 2, n), rng.random(n) < 0.8
+    y = shift + np.sin(x / 4) + 0.3 * sex + rng.normal(0, 0.1, n)
+    rows = spark.createDataFrame([(0, k, float(x[k]), "FM"[sex[k]], bool(ctrl[k]), float(y[k])) for k in range(n)] + [(0, 900, None, "F", True, 1.0), (0, 901, 7.0, None, True, 1.0), (0, 902, 7.0, "F", None, 1.0)], "at int, id int, x double, sex string, ctrl boolean, value double")
+    rows = rows.filter("id < 900 OR id = 902").unionByName(rows.filter("id IN (900, 901)").withColumn("value", F.lit(None).cast("double")))
+    done = N.cross_validated_z(rows, "ctrl", "id", "at", "x", "sex", ["F", "M"], 4).collect()
+    assert all(r.z is None for r in done if r.id >= 900) and {r.seed for r in done} == {1, 2, 3, 4}
+    held = {seed: {r.id: r.z for r in done if r.seed == seed and r.id < 900} for seed in range(1, 5)}
+    known = np.append(x[ctrl], 7.0)  # the row without sex has a place among the knots
+    design = bspline_free_design(x, sex, np.quantile(known, [0, 1 / 3, 2 / 3, 1]))
+    for seed, zs in held.items():
+        assert set(zs) <= set(np.flatnonzero(ctrl)) and 0 < len(zs) < ctrl.sum() / 2
+        rest = np.array([k for k in np.flatnonzero(ctrl) if k not in zs])
+        own, centred = design[rest], y - y[ctrl].mean()
+        beta, *_ = np.linalg.lstsq(own, centred[rest], rcond=None)
+        s = math.sqrt(((centred[rest] - own @ beta) ** 2).sum() / (len(rest) - own.shape[1]))
+        t = float(D.t_quantile(D.normal_below(1.0), len(rest) - own.shape[1]))
+        for k, z in zs.items():
+            lever = design[k] @ np.linalg.inv(own.T @ own) @ design[k]
+            assert z == pytest.approx((centred[k] - design[k] @ beta) / (t * s * math.sqrt(1 + lever)), abs=1e-5)
+
+
 def test_low_rank_models(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 5)) @ rng.normal(size=(5, 5))
