@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortry.functions.distributions import normal_below, t_quantile
 from cohortry.operators.resampling import uniform
+from cohortry.sources.files import scratch
 
 
 def batch_residuals(rows: DataFrame, at: str, batch: str, value: str = "value") -> DataFrame:
@@ -132,13 +133,15 @@ def cross_validated_z(rows: DataFrame, fit: str, ident: str, at: str, x: str, se
 
     A seed holds out the controls whose draw by ident and seed is below share, at all places alike. Models are down-dated: cross
     products of all controls are summed once per place, those of a seed's held-out rows are taken off, and no seed reads the rest
-    again. Knots, centre and batch means are those of all controls and rows, so seeds share one design. z is null where a
+    again. The controls with their design, which are read three times, are written once below spark.checkpoint.dir. Knots, centre and batch means are those of all controls and rows, so seeds share one design. z is null where a
     model has no degree of freedom, or value, x or sex is null.
     """
     rows = batch_residuals(rows, at, batch) if batch else rows
     train, size = rows.filter(fit), len(levels) + df
     where = knots(train, at, x, df).join(train.groupBy(at).agg(F.avg("value").alias("centre")), at)
-    designed = _designed(train.join(where, at), x, sex, levels, df)
+    path = scratch(rows.sparkSession, "controls")
+    _designed(train.join(where, at), x, sex, levels, df).write.parquet(path)
+    designed = rows.sparkSession.read.parquet(path)
     out_of = F.filter(F.sequence(F.lit(1), F.lit(seeds)), lambda s: uniform(F.col(ident), s) < share)
     held = designed.withColumn("seed", F.explode(out_of))
     whole, part = _cross_products(designed, [at], size), _cross_products(held, [at, "seed"], size)
