@@ -59,6 +59,7 @@ class Lexicon:
     exceptions: tuple[str, ...] = ()
     slope: float = 1.0
     bias: float = 0.0
+    steps: tuple[tuple[float, float], ...] = ()
 
     def __post_init__(self):
         self.machine = ahocorasick.Automaton()
@@ -100,11 +101,13 @@ class Lexicon:
         return sum(w for *_, w in found) / (1 + np.log1p(text.count(" ") - 1)) if found else 0.0
 
     def score(self, text: str | None) -> float:
-        z = self.slope * self.density(folded(text)) + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        """The mean of a logistic curve in the density, which tells all densities apart, and of the step curve, which follows the rows."""
+        x = self.density(folded(text))
+        p = float(1 / (1 + np.exp(-np.clip(self.slope * x + self.bias, -500, 500))))
+        return (p + float(np.interp(x, *zip(*self.steps)))) / 2 if self.steps else p
 
 
-def _greedy(odds: np.ndarray, names: list[str], holders: list[np.ndarray], least: int, most: int, times: int = 2) -> list[int]:
+def _greedy(odds: np.ndarray, names: list[str], holders: list[np.ndarray], least: int, times: int = 2) -> list[int]:
     """Entries in the order chosen: each the one of highest odds times toxic rows that hold it and fewer than `times` chosen ones.
 
     Of equals whole words, then long ones; of nested entries one. An entry that no `least` such rows hold is never chosen.
@@ -112,7 +115,7 @@ def _greedy(odds: np.ndarray, names: list[str], holders: list[np.ndarray], least
     held = np.zeros(1 + max((int(h.max()) for h in holders if len(h)), default=0), np.int64)
     order = sorted(range(len(names)), key=lambda k: -odds[k] * len(holders[k]))
     used, chosen = set(), []
-    while len(chosen) < most:
+    while True:
         best, gain = None, (0.0, False, 0, "")
         for k in order:  # by falling bound of the gain
             if odds[k] * len(holders[k]) < gain[0]:
@@ -128,7 +131,6 @@ def _greedy(odds: np.ndarray, names: list[str], holders: list[np.ndarray], least
         stem = names[best].rstrip()
         used.update(k for k in range(len(names)) if names[k].startswith(stem) or stem.startswith(names[k].rstrip()))
         held[holders[best]] += 1
-    return chosen
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-3, steps: int = 200) -> tuple[float, float]:
@@ -149,15 +151,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return max(a, 0.0), b
 
 
-def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000, least: int = 2, least_odds: float = 1.5, shortest: int = 3, longest: int = 7, most_candidates: int = 20_000, most_entries: int = 2_000, most_exceptions: int = 5_000) -> Lexicon:
+def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[tuple[float, float], ...]:
+    """(x, share) at the ends of the blocks of the rising step curve that fits weighted rows best, shares smoothed by one row.
+
+    Neighbouring blocks are merged while the share falls from one to the next. Between blocks the curve is a line.
+    """
+    weight = weight * (len(y) / weight.sum())
+    points, at = np.unique(x, return_inverse=True)
+    blocks: list[list[float]] = []
+    for point, n, t in zip(points, np.bincount(at, weight), np.bincount(at, weight * y), strict=True):
+        blocks.append([point, point, n, t])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][2] >= blocks[-1][3] * blocks[-2][2]:
+            _, last, n, t = blocks.pop()
+            blocks[-1] = [blocks[-1][0], last, blocks[-1][2] + n, blocks[-1][3] + t]
+    shares = np.maximum.accumulate([(t + 0.5) / (n + 1) for *_, n, t in blocks])
+    return tuple((float(end), float(share)) for (first, last, *_), share in zip(blocks, shares, strict=True) for end in sorted({first, last}))
+
+
+def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000, least: int = 2, least_odds: float = 1.5, shortest: int = 3, longest: int = 7) -> Lexicon:
     """A lexicon from rows (ident, text) and their labels (known, toxic 0/1), one for each key.
 
     Fits on about most_rows rows (documented bound), half of either label or all that there are, by identifier hash;
     the final regression weighs them by how many they stand for. An entry needs `least` toxic rows and smoothed log
     odds of which least_odds are left at 1.64 standard errors below the estimate: the fewer rows, the stronger an entry
-    must be, and one rule serves every size. The model's size is bounded by its parameters: the most_candidates entries
-    of the highest bound times toxic rows are candidates, at most most_entries of them and most_exceptions exception
-    phrases are kept. Without toxic or without clean rows, the lexicon is empty and scores are the share of toxic rows,
+    must be, and one rule serves every size. Every entry and exception phrase that the rows support is kept, so the
+    model is bounded by the rows it is learned from. Without toxic or without clean rows, the lexicon is empty and scores are the share of toxic rows,
     smoothed.
     """
     spark = rows.sparkSession
@@ -200,7 +218,7 @@ def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000,
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     kept = counts.filter(F.col("toxic") >= least).withColumn("odds", odds).withColumn("sure", F.col("odds") - 1.64 * error).filter(F.col("sure") >= least_odds)
-    best = kept.orderBy(F.desc(F.col("sure") * F.col("toxic")), F.desc(F.length("entry")), "entry").limit(most_candidates).select("entry", "odds", "sure").collect()
+    best = kept.orderBy(F.desc(F.col("sure") * F.col("toxic")), F.desc(F.length("entry")), "entry").select("entry", "odds", "sure").collect()
     names, weights, sure = [r.entry for r in best], [r.odds for r in best], np.array([r.sure for r in best])
     place = spark.sparkContext.broadcast({n: k for k, n in enumerate(names)})
 
@@ -217,9 +235,9 @@ def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000,
     for row, found in enumerate(held.found):
         for k in found:
             holders[k].append(row)
-    chosen = _greedy(sure, names, [np.array(h, np.int64) for h in holders], least, most_entries)
+    chosen = _greedy(sure, names, [np.array(h, np.int64) for h in holders], least)
     lexicon = Lexicon({names[k]: float(weights[k]) for k in chosen})
-    lexicon = Lexicon(lexicon.weights, _exceptions(picked, lexicon, most_exceptions))
+    lexicon = Lexicon(lexicon.weights, _exceptions(picked, lexicon))
     seen = picked.select("text", "toxic")
     shared = spark.sparkContext.broadcast((lexicon.weights, lexicon.exceptions))
 
@@ -234,11 +252,11 @@ def learned_lexicon(rows: DataFrame, known: DataFrame, most_rows: int = 12_000,
 
     pairs = arrow_map(seen, weigh, "x double, toxic int").toPandas()
     toxic = pairs.toxic.to_numpy(float)
-    slope, bias = _logistic(pairs.x.to_numpy(float), toxic, 1 / np.where(toxic == 1, shares[1], shares[0]))
-    return Lexicon(lexicon.weights, lexicon.exceptions, slope, bias)
+    fit = pairs.x.to_numpy(float), toxic, 1 / np.where(toxic == 1, shares[1], shares[0])
+    return Lexicon(lexicon.weights, lexicon.exceptions, *_logistic(*fit), _isotonic(*fit))
 
 
-def _exceptions(picked: DataFrame, lexicon: Lexicon, most: int, least: int = 3) -> tuple[str, ...]:
+def _exceptions(picked: DataFrame, lexicon: Lexicon, least: int = 3) -> tuple[str, ...]:
     """Two-word phrases round a match that at least `least` clean rows use, and ten times as many clean as toxic rows."""
     shared = picked.sparkSession.sparkContext.broadcast(lexicon.weights)
 
@@ -265,7 +283,7 @@ def _exceptions(picked: DataFrame, lexicon: Lexicon, most: int, least: int = 3)
         return run
 
     found = arrow_map(picked.select("text", "toxic"), make, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    rows = found.filter((F.col("c") >= least) & (F.col("c") >= 10 * F.col("t"))).orderBy(F.desc("c"), "phrase").limit(most).collect()
+    rows = found.filter((F.col("c") >= least) & (F.col("c") >= 10 * F.col("t"))).orderBy(F.desc("c"), "phrase").collect()
     return tuple(r.phrase for r in rows)
 
 
@@ -286,7 +304,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     without a match. Repeated rows score alike; no rows in, no rows out; other columns are left out.
     """
     lexicon = fitted_lexicon(docs, labels, key, text, label, most_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias, lexicon.steps))
 
     def make():
         scorer = Lexicon(*shared.value)
@@ -305,7 +323,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def nontoxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.7, most_rows: int = 12_000) -> DataFrame:
     """The rows of docs that toxicity() doesn't predict to be toxic, with all columns. Rows don't leave their partition."""
     lexicon, nth = fitted_lexicon(docs, labels, key, text, label, most_rows), docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.bias, lexicon.steps))
 
     def make():
         scorer = Lexicon(*shared.value)
