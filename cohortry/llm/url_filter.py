@@ -116,7 +116,8 @@ def url_verdicts(pages: DataFrame, labelled: DataFrame | None = None, key: str =
 
     Trees learn from labelled (url, label 0 or 1, 1 is block) or, without it, from those urls of pages that a rule
     judges: about most_rows distinct ones, chosen by url hash (documented bound). A label above 0 means block. Suffix
-    statistics are counted over all labelled rows and kept for all values; those of the `suffixes` most frequent ones are broadcast. The last domain label is the suffix; the label before it with the first folder is another one.
+    statistics are counted over all labelled rows and kept for all values that two of them have, as a single row's own
+    label would tell the trees itself; those of the `suffixes` most frequent ones are broadcast. The last domain label is the suffix; the label before it with the first folder is another one.
     If labels are all alike, or there are none, the trees have nothing to learn: urls get that label, else allow.
     Null urls and such without '://' have empty host and path and no rule, and are judged by their features. Repeated
     rows are judged alike; no rows in, no rows out; other columns are left out.
