@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortry.operators.relational import bh_adjusted, bh_over_all
+from cohortry.sources.files import scratch
 
 
 def _log_binomials(n: int) -> np.ndarray:
@@ -33,8 +34,10 @@ def _probabilities(n: int, at: np.ndarray) -> np.ndarray:
 def unconditional_p(b: int, n: int, c: int, m: int, grid: int = 201, rounds: int = 4, cells: int = 4_000_000) -> float:
     """Two-sided p of b of n against c of m: all pairs of outcomes whose pooled z is at least as far from zero, at the worst common probability.
 
-    The supremum is sought on a grid, then on ever finer ones around the best point. Outcomes are handled some rows at a
-    time, so large tables need no more memory. 1 where a margin is zero.
+    The supremum is sought on a grid, then on ever finer ones around the best point. For each x of n, z falls as y of m
+    rises, so the outcomes at least as far are those up to one y and those from another on; both are found by bisection and
+    weighed by sums of the binomial from either end. Work and memory grow with n + m, not with n * m; some points of the
+    grid are handled at a time. 1 where a margin is zero.
     """
     if n <= 0 or m <= 0 or b + c in (0, n + m):
         return 1.0
@@ -42,17 +45,32 @@ def unconditional_p(b: int, n: int, c: int, m: int, grid: int = 201, rounds: int
     def z(x, y):
         p = (x + y) / (n + m)
         spread = p * (1 - p) * (1 / n + 1 / m)
-        return np.abs(x / n - y / m) / np.sqrt(np.where(spread > 0, spread, 1))
+        return (x / n - y / m) / np.sqrt(np.where(spread > 0, spread, 1))
 
-    far, y = z(b, c) - 1e-9, np.arange(m + 1)[None, :]
-    step = max(1, cells // (m + 1))
+    far, x = abs(z(b, c)) - 1e-9, np.arange(n + 1)
+    if far <= 0:
+        return 1.0
+
+    def first(reached):
+        """For each x the least y, or m + 1, from which on reached(x, y) holds."""
+        low, high = np.zeros(n + 1, np.int64), np.full(n + 1, m + 1)
+        while (low < high).any():
+            middle = (low + high) // 2
+            held = reached(x, np.minimum(middle, m))
+            low, high = np.where((low < high) & ~held, middle + 1, low), np.where((low < high) & held, middle, high)
+        return low
+
+    below, above = first(lambda x, y: z(x, y) < far), first(lambda x, y: z(x, y) <= -far)
+    step = max(1, cells // (max(n, m) + 1))
 
     def tail(at):
-        px, py, total = _probabilities(n, at), _probabilities(m, at), np.zeros(len(at))
-        for low in range(0, n + 1, step):
-            x = np.arange(low, min(low + step, n + 1))[:, None]
-            total += (px[low : low + step] * ((z(x, y) >= far).astype(np.float64) @ py)).sum(axis=0)
-        return total
+        out = []
+        for low in range(0, len(at), step):
+            px, py = (_probabilities(size, at[low : low + step]) for size in (n, m))
+            none = np.zeros((1, py.shape[1]))
+            up, down = np.r_[none, py.cumsum(axis=0)], np.r_[py[::-1].cumsum(axis=0)[::-1], none]
+            out.append((px * (up[below] + down[above])).sum(axis=0))
+        return np.concatenate(out)
 
     low, high, best = 0.0, 1.0, 0.0
     for _ in range(rounds):
@@ -78,9 +96,14 @@ def with_exact_p(tables: DataFrame, b: str, n: str, c: str, m: str, p: str = "p"
             yield pdf.assign(p=[unconditional_p(*map(int, row)) for row in pdf.itertuples(index=False)])
 
     fine = (F.col("__b") >= 0) & (F.col("__b") <= F.col("__n")) & (F.col("__c") >= 0) & (F.col("__c") <= F.col("__m"))
-    # Dealt by hash, as large tables cost more and stand next to each other.
-    distinct = keyed.filter(fine).select(*named).distinct().repartition(*named)
-    solved = distinct.mapInPandas(solve, "__b int, __n int, __c int, __m int, p double").select(*[F.col(k).alias(f"{k}_") for k in named], F.col("p").alias("__p"))
+    # Dealt by hash, as large tables cost more and stand next to each other. A repartition by the columns themselves is
+    # dropped after distinct(), and few rows are then put in one task.
+    spark = tables.sparkSession
+    distinct = keyed.filter(fine).select(*named).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*named))
+    # Written once, as adjusting p reads it several times.
+    path, schema = scratch(spark, "exact"), "__b int, __n int, __c int, __m int, p double"
+    distinct.mapInPandas(solve, schema).write.parquet(path)
+    solved = spark.read.schema(schema).parquet(path).select(*[F.col(k).alias(f"{k}_") for k in named], F.col("p").alias("__p"))
     met = keyed.join(solved, [F.col(k) == F.col(f"{k}_") for k in named], "left")
     return met.select(*tables.columns, F.col("__p").alias(p))
 

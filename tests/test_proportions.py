@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -35,6 +36,20 @@ def test_exact_p_equals_enumeration():
     assert proportions.unconditional_p(30, 1000, 90, 1000) < 1e-6 and proportions.unconditional_p(0, 3, 0, 5) == 1.0
 
 
+def test_exact_p_of_large_tables_needs_no_table_of_outcomes():
+    before = time.process_time()
+    found = proportions.unconditional_p(3_600, 7_200, 3_750, 7_203)
+    assert found == pytest.approx(math.erfc(abs(3_600 / 7_200 - 3_750 / 7_203) / math.sqrt(0.51 * 0.49 * (1 / 7_200 + 1 / 7_203)) / math.sqrt(2)), rel=0.05)
+    assert time.process_time() - before < 15
+
+
+def test_tests_are_dealt_over_tasks_and_solved_once(spark):
+    rows = [(k, 10 + k, 3, 20) for k in range(40)]
+    got = proportions.with_exact_p(spark.createDataFrame(rows, "b int, n int, c int, m int"), "b", "n", "c", "m")
+    solved = [f for f in got.inputFiles() if "/exact-" in f]
+    assert len(solved) > 1 and got.count() == 40
+
+
 def step_up(ps):
     order = sorted(range(len(ps)), key=lambda k: ps[k])
     out, low = [0.0] * len(ps), 1.0
