@@ -160,6 +160,22 @@ def set_overlaps(members: DataFrame, group: str, item: str) -> DataFrame:
     return sized.select(F.col("g").alias("a"), F.col("h").alias("b"), "shared", (n / (F.col("n_a") + F.col("n_b") - n)).alias("jaccard"), (n / F.least("n_a", "n_b")).alias("overlap"), (n / F.col("n_a")).alias("a_in_b"), (n / F.col("n_b")).alias("b_in_a"))
 
 
+def bridged_pairs(members: DataFrame, bridge: str, key: str, blocks: int = 8) -> DataFrame:
+    """(a, b): the distinct ordered pairs of keys that share a bridge, each with itself. members: distinct bridge and key.
+
+    Keys are dealt to blocks, and for every two blocks a bridge sends its keys of both as lists to the task that makes
+    their pairs and drops repeated ones: what is shuffled are lists, not pairs, and each two blocks once.
+    """
+    known = members.filter(F.col(bridge).isNotNull() & F.col(key).isNotNull())
+    sets = known.groupBy(F.col(bridge).alias("bridge"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("i")).agg(F.collect_list(key).alias("own"))
+    met = sets.join(sets.select("bridge", F.col("i").alias("j"), F.col("own").alias("others")), "bridge").filter("i <= j")
+    dealt = met.select("i", "j", "own", "others").repartition("i", "j")
+    pairs = dealt.select("i", "j", "others", F.explode("own").alias("a")).select("i", "j", "a", F.explode("others").alias("b")).distinct()
+    turned = F.array(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    each = F.when(F.col("i") < F.col("j"), F.concat(F.array(F.struct("a", "b")), turned)).otherwise(F.array(F.struct("a", "b")))
+    return pairs.select(F.inline(each))
+
+
 def below_sums(rows: DataFrame, order: str, columns: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
     """rows, of which each value of order has one, with below_<column>: the sum over rows of lower (or higher) order.
 

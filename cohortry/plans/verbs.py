@@ -127,7 +127,7 @@ def natural_null_join(spark, sf):
 @register("SELECT DISTINCT a.l_suppkey AS supplier, b.l_suppkey AS other FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) a JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) b ON a.l_partkey = b.l_partkey")
 def bridge_join(spark, sf):
     pairs = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    return pairs.withColumnRenamed("l_suppkey", "supplier").join(pairs.withColumnRenamed("l_suppkey", "other"), "l_partkey").select("supplier", "other").distinct()
+    return R.bridged_pairs(pairs, "l_partkey", "l_suppkey").select(F.col("a").alias("supplier"), F.col("b").alias("other"))
 
 
 @register("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_extendedprice), 4) AS mean_price, round(stddev_samp(l_discount), 6) AS sd_discount, min(l_tax) AS min_tax, max(l_tax) AS max_tax, count_if(l_discount > 0.05) AS n_discounted, bool_or(l_quantity > 49) AS any_large FROM lineitem GROUP BY ALL")

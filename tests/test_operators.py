@@ -150,6 +150,16 @@ def test_matched_controls_equal_all_pairs_and_meet_few(spark):
     assert near.count() <= 4_000 * 6
 
 
+def test_bridged_pairs_are_shuffled_as_lists(spark):
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(b), int(k)) for b, k in zip(rng.integers(0, 30, 400), rng.integers(0, 25, 400))})
+    members = spark.createDataFrame([*rows, (None, 3), (4, None)], "bridge_ long, key_ long")
+    got = relational.bridged_pairs(members, "bridge_", "key_", 3)
+    assert values(got.select("a", "b")) == sorted({(x, y) for p, x in rows for q, y in rows if p == q})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(a#" not in plan and "hashpartitioning(i#" in plan
+
+
 def test_normative_z_equals_least_squares(spark):
     rng = np.random.default_rng(0)
     x, s = rng.uniform(3, 20, 40), rng.integers(0, 2, 40)
