@@ -12,15 +12,27 @@ from cohortry.operators.resampling import uniform
 from cohortry.sources.files import scratch
 
 
+def _written(small: DataFrame, name: str) -> DataFrame:
+    """A row per place, written once: Spark knows its size before it plans the join, so rows aren't shuffled to few places."""
+    path = scratch(small.sparkSession, name)
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
+
+
 def batch_residuals(rows: DataFrame, at: str, batch: str, value: str = "value") -> DataFrame:
     """rows with value less its mean over the rows of its place and batch, which is what a fit on batches leaves."""
-    means = rows.groupBy(at, batch).agg(F.avg(value).alias("__mean"))
+    means = _written(rows.groupBy(at, batch).agg(F.avg(value).alias("__mean")), "means")
     return rows.join(means, [at, batch]).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
 
 
 def knots(rows: DataFrame, place: str, x: str, df: int) -> DataFrame:
     """Per place the boundary knots and df - 1 inner ones, at equal shares of x."""
-    return rows.groupBy(place).agg(F.array(F.min(x).cast("double"), *[F.percentile(x, k / df) for k in range(1, df)], F.max(x).cast("double")).alias("knots"))
+    return rows.groupBy(place).agg(_knots(x, df))
+
+
+def _knots(x: str, df: int) -> Column:
+    inner = F.percentile(x, [k / df for k in range(1, df)]) if df > 1 else None
+    return F.array(F.min(x).cast("double"), *[inner[k] for k in range(df - 1)], F.max(x).cast("double")).alias("knots")
 
 
 def spline_basis(x: Column, at: Column, df: int) -> list[Column]:
@@ -98,8 +110,8 @@ def normative_model(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels
     """(models, knots) of value ~ sex + natural spline of x with df degrees of freedom, fitted per place on the rows where fit is true."""
     rows = batch_residuals(rows, at, batch) if batch else rows
     train = rows.filter(fit)
-    where = knots(train, at, x, df).join(train.groupBy(at).agg(F.avg("value").alias("centre")), at)
-    return fitted_models(_designed(train.join(where, at), x, sex, levels, df), at, len(levels) + df), where
+    where = _written(train.groupBy(at).agg(_knots(x, df), F.avg("value").alias("centre")), "knots")
+    return _written(fitted_models(_designed(train.join(where, at), x, sex, levels, df), at, len(levels) + df), "models"), where
 
 
 def spline_z(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels: list[str], df: int = 3, batch: str | None = None) -> DataFrame:
@@ -108,16 +120,22 @@ def spline_z(rows: DataFrame, fit: str, at: str, x: str, sex: str, levels: list[
     batch: values are first taken about the means of place and batch, over all rows. The value column holds what was
     modelled. Null where a place has no model, x or sex is null, or nothing varies.
     """
-    models, where = normative_model(rows, fit, at, x, sex, levels, df, batch)
+    rows = batch_residuals(rows, at, batch) if batch else rows
+    models, where = normative_model(rows, fit, at, x, sex, levels, df)
     size = len(levels) + df
-    own = _designed((batch_residuals(rows, at, batch) if batch else rows).join(where, at, "left"), x, sex, levels, df).join(models, at, "left")
+    own = _designed(rows.join(where, at, "left"), x, sex, levels, df).join(models, at, "left")
     return own.withColumn("z", _z(size)).drop("__x", "beta", "inverse", "scale", "n", "centre")
 
 
 def _z(size: int) -> Column:
     """z of a row that has its design and its model."""
-    lever = _dot(F.col("__x"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda a: _dot(F.slice("inverse", a * size + 1, F.lit(size)), F.col("__x"))))
-    return F.try_divide(F.col("value") - F.col("centre") - _dot(F.col("__x"), F.col("beta")), F.col("scale") * F.sqrt(1 + lever))
+    x, beta, inverse = ([F.col(c)[k] for k in range(n)] for c, n in (("__x", size), ("beta", size), ("inverse", size * size)))
+
+    def dot(a, b):
+        return sum((p * q for p, q in zip(a, b, strict=True)), F.lit(0.0))
+
+    lever = dot(x, [dot(inverse[a * size : (a + 1) * size], x) for a in range(size)])
+    return F.try_divide(F.col("value") - F.col("centre") - dot(x, beta), F.col("scale") * F.sqrt(1 + lever))
 
 
 def normative_curves(rows: DataFrame, grid: list[tuple[float, str]], fit: str, at: str, x: str, sex: str, levels: list[str], df: int = 3, batch: str | None = None) -> DataFrame:
