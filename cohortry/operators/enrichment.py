@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortry.operators.relational import below_sums
+from cohortry.operators.relational import below_sums, dealt
 
 
 def log_factorials(spark: SparkSession, most: int) -> DataFrame:
@@ -54,6 +54,21 @@ def hypergeometric(counts: DataFrame, factorials: DataFrame, keys: list[str]) ->
     return counts.join(tail, keys, "left").select(*keys, "hit", "size", "chosen", "total", rate.alias("enrichment"), F.least(F.lit(1.0), F.coalesce("p", F.lit(1.0))).alias("p"))
 
 
+def co_occurrence(members: DataFrame, group: str, item: str) -> DataFrame:
+    """(a, b, score): items a < b and the pairs of their rows within groups; rows without group or item have none.
+
+    Pairs may be many times the rows, so both are counted first (from group sizes, in a run of its own), and dealt to tasks
+    by their number. The join makes a group's pairs one after the other; no task holds them as a list.
+    """
+    known = members.select(F.col(group).alias("group"), F.col(item).alias("a")).dropna()
+    n = known.count()
+    sizes = dealt(known.select("group"), n, "group").groupBy("group").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    rows = dealt(known, n, "group")
+    pairs = rows.join(rows.withColumnRenamed("a", "b"), "group").filter("a < b").select("a", "b")
+    return dealt(pairs, most, "a", "b").groupBy("a", "b").agg(F.count("*").alias("score"))
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, least: float) -> DataFrame:
     """(seed, gene): partners of each seed along edges (a, b, score) of at least `least`, and the seed; itself alone if it has none."""
     strong = edges.filter(F.col("score") >= least)

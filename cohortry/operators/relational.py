@@ -136,6 +136,20 @@ def completeness_curve(long: DataFrame, subject: str, variable: str, value: str)
     return gone.join(F.broadcast(total)).select("n_variables", (F.col("__total") - F.col("__gone")).alias("n_complete"))
 
 
+#: Rows of a few numbers that a task takes on average where its partitions are counted out: less than 200 MB sorted or hashed.
+TASK_ROWS = 500_000
+#: Partitions at most: beyond, what was quadratic in one group makes tasks larger, which spill.
+MOST_TASKS = 20_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of about so many rows, dealt by keys to partitions of TASK_ROWS on average: what a task holds doesn't grow with the input.
+
+    The number depends on the rows alone, not on the session's partitions, and is not made smaller at run time.
+    """
+    return df.repartition(max(1, min(MOST_TASKS, -(-rows // TASK_ROWS))), *keys)
+
+
 def ecdf_at(df: DataFrame, value: str, thresholds: DataFrame, at: str, groups: list[str] | None = None) -> DataFrame:
     """Shares of values at most, and at least, each threshold of a small table: partial counts per task, one row per threshold."""
     rows = df.select(*(groups or []), value).join(F.broadcast(thresholds))

@@ -86,8 +86,7 @@ def enrichment_table(spark, sf):
 
 @register("WITH e AS (SELECT a.l_partkey AS a, b.l_partkey AS b, count(*) AS score FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY ALL), d AS (SELECT a AS seed, b AS gene FROM e WHERE score >= 2 UNION SELECT b, a FROM e WHERE score >= 2) SELECT seed, gene FROM d UNION SELECT p_partkey, p_partkey FROM part")
 def network_neighbourhood(spark, sf):
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    edges = lines.select("l_orderkey", F.col("l_partkey").alias("a")).join(lines.select("l_orderkey", F.col("l_partkey").alias("b")), "l_orderkey").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("score"))
+    edges = N.co_occurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     seeds = table(spark, sf, "part").select(F.col("p_partkey").alias("seed"))
     return N.neighbourhood(edges, seeds, 2)
 
