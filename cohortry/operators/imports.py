@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortry.operators.relational import dealt
 from cohortry.operators.voxels import flipped, transformed
 
 
@@ -34,15 +35,21 @@ def combined_jacobians(pairs: DataFrame, also: tuple[str, ...] = ()) -> DataFram
     return pairs.groupBy(*also, *keys).agg(F.when(F.count(known) == F.count("*"), F.avg(known)).alias("similarity"))
 
 
-def intersected_homologues(first: DataFrame, second: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def intersected_homologues(first: DataFrame, second: DataFrame, pairs: DataFrame, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Expression (gene, ...) of two species where both have the gene: the first's under the second's names, and the second's.
 
     pairs: first_gene, second_gene; repeated pairs count once. A gene with several homologues gives its rows to each of them.
+    rows: of the longest of the three tables, counted if not given; the number of tasks follows from it. Pairs travel twice,
+    by the second gene to be sought there, and by the first to be made distinct and joined.
     """
-    both = pairs.select("first_gene", "second_gene").distinct()
-    both = both.join(first.select(F.col("gene").alias("first_gene")).distinct(), "first_gene", "left_semi").join(second.select(F.col("gene").alias("second_gene")).distinct(), "second_gene", "left_semi")
-    renamed = first.withColumnRenamed("gene", "first_gene").join(both, "first_gene").drop("first_gene").withColumnRenamed("second_gene", "gene").select(*first.columns)
-    return renamed, second.join(both.select(F.col("second_gene").alias("gene")), "gene", "left_semi").select(*second.columns)
+    rows = max(df.count() for df in (first, second, pairs)) if rows is None else rows
+    there = dealt(second.select(F.col("gene").alias("second_gene")), rows, "second_gene").distinct()
+    known = dealt(pairs.select("first_gene", "second_gene").dropna(), rows, "second_gene").join(there, "second_gene", "left_semi")
+    both = dealt(known, rows, "first_gene").distinct()
+    named = dealt(first.withColumnRenamed("gene", "first_gene"), rows, "first_gene")
+    renamed = named.join(both, "first_gene").drop("first_gene").withColumnRenamed("second_gene", "gene").select(*first.columns)
+    kept = both.join(named.select("first_gene").distinct(), "first_gene", "left_semi").select(F.col("second_gene").alias("gene")).distinct()
+    return renamed, second.join(kept, "gene", "left_semi").select(*second.columns)
 
 
 def prepared_samples(samples: DataFrame, flags: DataFrame, matrix: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortry.operators import imports as I
+from cohortry.operators.relational import dealt
 from cohortry.plans.fixtures import Register, rounded, table
 
 register = Register()
@@ -28,10 +29,13 @@ def imported_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @register("WITH a AS (SELECT l_partkey AS gene, l_linenumber::VARCHAR AS sample, avg(l_quantity) AS value FROM lineitem GROUP BY ALL), b AS (SELECT o_custkey AS gene, o_orderstatus AS sample, avg(o_totalprice) AS value FROM orders GROUP BY ALL), p AS (SELECT DISTINCT l_partkey AS x, l_suppkey AS y FROM lineitem WHERE l_suppkey IN (SELECT gene FROM b)) SELECT 'first' AS species, y AS gene, sample, round(value, 4) AS value FROM a JOIN p ON gene = x UNION ALL SELECT 'second', gene, sample, round(value, 4) FROM b WHERE gene IN (SELECT y FROM p)")
 def homologous_expression(spark, sf):
     """Parts and customers as genes of two species that suppliers' numbers pair."""
-    lines = table(spark, sf, "lineitem")
-    first = lines.groupBy(F.col("l_partkey").alias("gene"), F.col("l_linenumber").cast("string").alias("sample")).agg(F.avg("l_quantity").alias("value"))
-    second = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("gene"), F.col("o_orderstatus").alias("sample")).agg(F.avg("o_totalprice").alias("value"))
-    both = I.intersected_homologues(first, second, lines.select(F.col("l_partkey").alias("first_gene"), F.col("l_suppkey").alias("second_gene")))
+    lines, orders = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    n, m = lines.count(), orders.count()
+    taken = lines.select(F.col("l_partkey").alias("gene"), F.col("l_linenumber").cast("string").alias("sample"), "l_quantity")
+    first = dealt(taken, n, "gene", "sample").groupBy("gene", "sample").agg(F.avg("l_quantity").alias("value"))
+    priced = orders.select(F.col("o_custkey").alias("gene"), F.col("o_orderstatus").alias("sample"), "o_totalprice")
+    second = dealt(priced, m, "gene", "sample").groupBy("gene", "sample").agg(F.avg("o_totalprice").alias("value"))
+    both = I.intersected_homologues(first, second, lines.select(F.col("l_partkey").alias("first_gene"), F.col("l_suppkey").alias("second_gene")), max(n, m))
     named = [df.select(F.lit(name).alias("species"), "gene", "sample", "value") for name, df in zip(("first", "second"), both, strict=True)]
     return rounded(named[0].unionByName(named[1]), "value", places=4)
 
