@@ -68,6 +68,7 @@ def links(fps: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     With `segments` segments and fewer than 2 * segments differing bits, one segment differs in one bit at most. Two
     fingerprints equal there meet at that segment as it is; differing by one bit they meet where it is deleted, one
     from either side. Each meeting is verified over all 64 bits within the join, so unverified pairs are never rows.
+    Spark takes the slots to be as large as their fingerprints, so it is told not to broadcast them.
     """
     if most >= 2 * segments or 64 % segments:
         raise ValueError("segments must divide 64, and be more than half of the differing bits")
@@ -75,7 +76,7 @@ def links(fps: DataFrame, most: int = 3, segments: int = 2) -> DataFrame:
     left = slots.filter("side != 1").select(F.col("slot").alias("ls"), F.col("fp").alias("a"), "side")
     right = slots.filter("side != 0").select(F.col("slot").alias("rs"), F.col("fp").alias("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most
-    return left.join(right, (F.col("ls") == F.col("rs")) & near & ((F.col("side") == 0) | (F.col("a") < F.col("b")))).select("a", "b")
+    return left.join(right.hint("merge"), (F.col("ls") == F.col("rs")) & near & ((F.col("side") == 0) | (F.col("a") < F.col("b")))).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, segments: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -179,3 +179,11 @@ def test_url_verdicts_learn_from_labels_however_often_a_url_repeats(spark):
     pages = spark.createDataFrame([(0, "https://good.org/read/1000"), (1, "https://bad-77-88.org/x1/y2/z3/1000")], "page_id long, url string")
     got = {r.page_id: r for r in url_filter.url_verdicts(pages, labelled, trees=3, depth=2, most_rows=100).collect()}
     assert (got[0].verdict, got[1].verdict) == ("allow", "block") and got[0].rule is None and got[0].blocked < 0.5 < got[1].blocked
+
+
+def test_slots_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    from cohortry.llm import simhash
+
+    spark.range(5_000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fps")
+    near = simhash.links(spark.read.parquet(f"{tmp_path}/fps"))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
