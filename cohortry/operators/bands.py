@@ -13,13 +13,14 @@ def seeded_places(rows: DataFrame, ident: str, seed: str, out: str = "place") ->
 
     A seed's rows are dealt to 4,096 ranges of the order, numbered within them, and the sizes of the ranges before are added: no task
     numbers all rows of a seed. Rows that agree in seed and ident are told apart by nothing, and get different places.
+    Spark takes rows of an explode to be fewer than they are, so it is told not to broadcast them: they are dealt and ordered already.
     """
     keyed = rows.withColumn("__key", order_key(ident, seed)).withColumn("__range", F.substring("__key", 1, 3))
     sizes = keyed.groupBy(seed, "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(seed).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(seed, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy(seed, "__range").orderBy("__key", ident))
-    return keyed.withColumn("__at", within).join(starts, [seed, "__range"]).withColumn(out, F.col("__before") + F.col("__at")).drop("__key", "__range", "__at", "__before")
+    return keyed.withColumn("__at", within).join(starts.hint("merge"), [seed, "__range"]).withColumn(out, F.col("__before") + F.col("__at")).drop("__key", "__range", "__at", "__before")
 
 
 def null_targets(terms: DataFrame, term: str, sizes: list[int], seeds: int) -> DataFrame:

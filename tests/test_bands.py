@@ -41,3 +41,9 @@ def test_empty(spark):
     terms = spark.createDataFrame([], "term long, score double")
     steps = B.roc_steps(B.null_targets(terms, "term", [5], 2), "score", F.col("drawn"), ["n_true", "seed"])
     assert B.on_grid(steps, ["n_true", "seed"], 4).count() == 0
+
+
+def test_rows_of_seeds_are_not_broadcast(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("term"), (F.col("id") % 9).cast("double").alias("score")).write.parquet(f"{tmp_path}/terms")
+    drawn = B.null_targets(spark.read.parquet(f"{tmp_path}/terms"), "term", [10], 20)
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
